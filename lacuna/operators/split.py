@@ -19,20 +19,29 @@ def _check_fraction(f):
         raise ValueError("test_set_fraction must be a float in the [0.0-1.0] range")
 
 
-def _cut(df: DataFrame, seed, salt: str, k: int, row_id: str):
+def _cut(df: DataFrame, seed, salt: str, k: int, row_id: str, level1=None):
     keyed = df.withColumn("__sk", hash_key(seed, salt, row_id))
     if k <= 0:
         return keyed, F.lit(False)
-    thr = kth_keys(keyed, "__sk", {"__all__": k})["__all__"]
+    thr = kth_keys(keyed, "__sk", {"__all__": k}, level1=level1)["__all__"]
     return keyed, F.col("__sk") <= F.lit(thr)
 
 
+def _level1(df: DataFrame, seed, salt: str, row_id: str):
+    """First histogram level of the split keys; its total is the row count (one job for both)."""
+    from ..functions.hashing import HEX_STEP
+    rows = (df.select(F.substring(hash_key(seed, salt, row_id), 1, HEX_STEP).alias("p"))
+            .groupBy("p").count().collect())
+    hist = [(r["p"], r["count"]) for r in rows]
+    return sum(c for _, c in hist), {"__all__": hist}
+
+
 def train_test_split(df: DataFrame, seed: int, test_fraction: float, row_id: str = "row_id",
                      part_col: str = "part", n: int | None = None) -> DataFrame:
     """ceil(n * fraction) rows (the smallest split keys) go to X_test."""
     _check_fraction(test_fraction)
-    n = df.count() if n is None else n
-    keyed, is_test = _cut(df, seed, "split", math.ceil(n * test_fraction), row_id)
+    total, hist = _level1(df, seed, "split", row_id)
+    keyed, is_test = _cut(df, seed, "split", math.ceil(total * test_fraction), row_id, level1=hist)
     return keyed.withColumn(part_col, F.when(is_test, F.lit(TEST)).otherwise(F.lit(TRAIN))).drop("__sk")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,14 @@ def prepare_parts(spec: TableSpec, evaluation_scenario: str, seed: int, n: int |
     """Long table: part, row_id, corrupted features, __real_*, __miss_*, sensitive, label."""
     plans = part_plans(spec.name, evaluation_scenario)
     tests = [p for p in plans if p != TRAIN]
-    split = train_test_split(spec.df, seed, spec.test_fraction, n=n)
+    base = spec.df.persist(StorageLevel.MEMORY_AND_DISK)  # split count + threshold jobs share one scan/join
+    split = train_test_split(base, seed, spec.test_fraction, n=n)
     long = split.withColumn("part", F.explode(
         F.when(F.col("part") == TEST, F.array(*[F.lit(p) for p in tests])).otherwise(F.array(F.lit(TRAIN)))))
     long = with_truth(long, spec.features)
-    return with_missing_flags(inject(long, plans, seed), spec.features)
+    out = with_missing_flags(inject(long, plans, seed), spec.features)
+    base.unpersist()  # the injected long table holds its own cache from here on
+    return out
 
 
 def impute(spec: TableSpec, parts: DataFrame, imputer_name: str):
@@ -89,7 +93,8 @@ def sql_imputation_metrics(spec_name: str, numeric, categorical, sensitive, test
                            evaluation_scenario: str, seed: int, numeric_kl_sql=None) -> str:
     feats = list(numeric) + list(categorical)
     parts = sql_prepare_parts(spec_name, feats, evaluation_scenario, seed, test_fraction)
-    imputed = sql_impute(parts, imputer, numeric, categorical)
-    body = sql_score(imputed, numeric, categorical, sensitive, numeric_kl_sql)
-    return (f"SELECT '{spec_name}' AS dataset_name, '{imputer}' AS null_imputer_name, "
+    imputed = sql_impute("SELECT * FROM parts", imputer, numeric, categorical)
+    body = sql_score("SELECT * FROM imputed", numeric, categorical, sensitive, numeric_kl_sql)
+    return (f"WITH parts AS MATERIALIZED ({parts}), imputed AS MATERIALIZED ({imputed}) "
+            f"SELECT '{spec_name}' AS dataset_name, '{imputer}' AS null_imputer_name, "
             f"'{evaluation_scenario}' AS evaluation_scenario, {seed} AS experiment_seed, * FROM ({body})")
