@@ -111,7 +111,9 @@ def numeric_kl(cells: DataFrame, grid: int = 1000) -> DataFrame:
     if not params:
         dens = None
     else:
-        work = scoped.select(F.concat_ws("\u0001", *KEYS, "scope").alias("gid"), "t", "p")
+        from ...session import spread
+        # CPU-heavy per row (grid evaluations): make sure every core gets a share
+        work = spread(scoped.select(F.concat_ws("\u0001", *KEYS, "scope").alias("gid"), "t", "p"))
         dens = (work.mapInPandas(_density_sums_fn(params), "gid string, j int, x double, st double, sp double")
                 .groupBy("gid", "j").agg(F.first("x").alias("x"), F.sum("st").alias("st"), F.sum("sp").alias("sp")))
     if dens is not None:

@@ -19,6 +19,7 @@ from ..operators.impute.simple import IMPUTERS, sql_stats
 from ..operators.inject import inject, sql_inject
 from ..operators.score.cells import MISS, REAL, score, sql_score, with_missing_flags, with_truth
 from ..operators.split import TEST, TRAIN, sql_train_test_split, train_test_split
+from ..session import spread
 from ..sources.tables import TableSpec, base_sql
 from .scenarios import injection_scenarios, scenario_steps, test_part
 
@@ -39,7 +40,7 @@ def prepare_parts(spec: TableSpec, evaluation_scenario: str, seed: int, n: int |
     split = train_test_split(base, seed, spec.test_fraction, n=n)
     long = split.withColumn("part", F.explode(
         F.when(F.col("part") == TEST, F.array(*[F.lit(p) for p in tests])).otherwise(F.array(F.lit(TRAIN)))))
-    long = with_truth(long, spec.features)
+    long = spread(with_truth(long, spec.features), "row_id")
     out = with_missing_flags(inject(long, plans, seed), spec.features)
     base.unpersist()  # the injected long table holds its own cache from here on
     return out

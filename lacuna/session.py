@@ -51,3 +51,14 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, key=None):
+    """Hash-spread a frame over at least the default parallelism, but only when its
+    plan has fewer partitions than that (small inputs: one parquet split).  Large
+    inputs already have more splits than cores and pass through unshuffled."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key is not None else df.repartition(target)
