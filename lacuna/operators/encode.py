@@ -25,6 +25,8 @@ class OrdinalCodes:
     def fit(df: DataFrame, columns, *others: DataFrame) -> "OrdinalCodes":
         """Sorted distinct non-null values per column over train (and any
         extra parts, for a shared domain).  One job; domains are category lists."""
+        if not columns:
+            return OrdinalCodes({})
         src = df.select(*columns)
         for o in others:
             src = src.unionByName(o.select(*columns))

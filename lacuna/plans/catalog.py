@@ -68,7 +68,7 @@ def _load_all():
     if _LOADED:
         return
     from . import q_experiment  # noqa: F401
-    for mod in ("q_operators", "q_reports", "q_models", "q_neighbours", "q_graph"):
+    for mod in ("q_operators", "q_reports", "q_models", "q_neighbours", "q_imputers", "q_graph"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
