@@ -20,11 +20,12 @@ from .simple import ranked_values
 
 
 def _dist_expr(centroid: dict, num_cols, cat_cols, gamma: float):
+    # a missing coordinate (test rows) contributes nothing
     e = F.lit(0.0)
     for c in num_cols:
-        e = e + (F.col(c) - F.lit(centroid[c])) ** 2
+        e = e + F.coalesce((F.col(c) - F.lit(centroid[c])) ** 2, F.lit(0.0))
     for c in cat_cols:
-        e = e + F.lit(gamma) * (F.col(c) != F.lit(centroid[c])).cast("double")
+        e = e + F.coalesce(F.lit(gamma) * (F.col(c) != F.lit(centroid[c])).cast("double"), F.lit(0.0))
     return e
 
 
@@ -137,8 +138,8 @@ def cluster_impute(df: DataFrame, train_part: str, numeric, categorical, k: int,
     obs_cat = [c for c in categorical if c not in missing]
     if not obs_num and not obs_cat:
         raise ValueError("every feature has missing values: nothing to cluster on")
-    model = fit_kprototypes(train, obs_num, obs_cat, [c for c in missing if c in numeric],
-                            [c for c in missing if c in categorical], k, seed, max_iter)
+    # K4: statistics for every feature, so cells missing only in a test part are filled too
+    model = fit_kprototypes(train, obs_num, obs_cat, list(numeric), list(categorical), k, seed, max_iter)
     return model.transform(df), model
 
 

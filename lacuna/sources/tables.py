@@ -93,8 +93,12 @@ def _orders(spark, sf_dir) -> DataFrame:
 
 def _lineitem(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
+    # the integer keys repeat; with the four measures (as fixed-scale decimals, whose
+    # text form is the same in every engine) every row is distinct
     rid = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in
-                                   ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]))
+                                   ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
+                            *[F.col(c).cast("decimal(18,4)").cast("string") for c in
+                              ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]))
     df = li.select(rid.alias("row_id"),
                    *[F.col(c).cast("double").alias(c) for c in DATASETS["lineitem"]["numeric"]],
                    F.col("l_linenumber").cast("string").alias("l_linenumber_s"),
@@ -116,7 +120,9 @@ BASE_SQL = {
         "JOIN nation n ON c.c_nationkey = n.n_nationkey"),
     "lineitem": (
         "SELECT md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), "
-        "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))) AS row_id, "
+        "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(18,4)) AS VARCHAR), "
+        "CAST(CAST(l_extendedprice AS DECIMAL(18,4)) AS VARCHAR), CAST(CAST(l_discount AS DECIMAL(18,4)) AS VARCHAR), "
+        "CAST(CAST(l_tax AS DECIMAL(18,4)) AS VARCHAR))) AS row_id, "
         "CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, "
         "CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax, "
         "CAST(l_linenumber AS VARCHAR) AS l_linenumber_s, l_linestatus, "
