@@ -30,18 +30,22 @@ def _pair_dist(qn, qc, dn, dc, total_dims, cat_width):
     """nan-euclidean distance (queries may miss coordinates, donors are complete).
     Numeric coordinates add (dq - dd)^2; a categorical column with w one-hot
     coordinates adds 2 when the categories differ; the sum is scaled by
-    total / present coordinates."""
+    total / present coordinates.  Terms are added in column order (the SQL twin
+    adds them in the same order)."""
     d2 = np.zeros((qn.shape[0], dn.shape[0]))
     present = np.zeros(qn.shape[0])
     for j in range(qn.shape[1]):
         ok = ~np.isnan(qn[:, j])
-        diff = qn[:, j][:, None] - dn[:, j][None, :]
-        d2 += np.where(ok[:, None], diff * diff, 0.0)
+        diff = np.subtract.outer(np.where(ok, qn[:, j], 0.0), dn[:, j])
+        diff *= diff
+        diff[~ok] = 0.0
+        d2 += diff
         present += ok
     for j in range(qc.shape[1]):
         ok = ~np.isnan(qc[:, j])
-        neq = (qc[:, j][:, None] != dc[:, j][None, :]).astype(float) * 2.0
-        d2 += np.where(ok[:, None], neq, 0.0)
+        neq = np.not_equal.outer(qc[:, j], dc[:, j])
+        neq[~ok] = False
+        d2 += neq * 2.0
         present += ok * cat_width[j]
     scale = np.where(present > 0, total_dims / np.maximum(present, 1), np.inf)
     return np.sqrt(d2 * scale[:, None])
@@ -92,7 +96,18 @@ def knn_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str,
     num_cols_l = list(num_cols)
 
     def merge(best_d, best_i, d, dids):
-        """Running exact top-k by (distance, donor id) per query row."""
+        """Running exact top-k by (distance, donor id) per query row.  Once a row
+        holds k candidates, only rows with a new distance <= their k-th enter the
+        merge (ties included: the donor id decides)."""
+        if best_d is not None and best_d.shape[1] >= k:
+            rows = np.nonzero((d <= best_d[:, -1][:, None]).any(axis=1))[0]
+            if len(rows) == 0:
+                return best_d, best_i
+            if len(rows) < d.shape[0]:
+                sd, si = merge(best_d[rows], best_i[rows], d[rows], dids)
+                best_d, best_i = best_d.copy(), best_i.copy()
+                best_d[rows], best_i[rows] = sd, si
+                return best_d, best_i
         cand_d = d if best_d is None else np.concatenate([best_d, d], axis=1)
         cand_i = np.broadcast_to(dids, d.shape) if best_i is None else \
             np.concatenate([best_i, np.broadcast_to(dids, d.shape)], axis=1)

@@ -174,3 +174,65 @@ def display_order(df: DataFrame, col: str, order) -> DataFrame:
     """Explicit display order as a sort key (small literal map)."""
     m = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(i))])
     return df.withColumn(f"{col}_order", F.coalesce(m[F.col(col)], F.lit(len(order))))
+
+
+def baseline_stats(model_metrics: DataFrame, keys=("dataset_name", "model_name", "metric", "subgroup")) -> DataFrame:
+    """Median and mean of the baseline (clean-data) metric per model."""
+    return model_metrics.groupBy(*keys).agg(F.median("metric_value").alias("baseline_median"),
+                                            F.avg("metric_value").alias("baseline_mean"))
+
+
+def with_baseline(model_metrics: DataFrame, baseline: DataFrame, keys=("dataset_name", "model_name", "metric",
+                                                                      "subgroup")) -> DataFrame:
+    """Attach the baseline median per model (the baseline table has one row
+    per model x metric x subgroup: a small dimension, broadcast)."""
+    return model_metrics.join(F.broadcast(baseline), list(keys), "left")
+
+
+def best_model_filter(model_metrics: DataFrame, best: DataFrame, keep=("boost_clean",)) -> DataFrame:
+    """Keep each dataset's best model (or a joint cleaning method)."""
+    b = best.select("dataset_name", F.col("best_model").alias("model_name"))
+    chosen = model_metrics.join(F.broadcast(b), ["dataset_name", "model_name"], "left_semi")
+    return chosen.unionByName(model_metrics.where(F.col("model_name").isin(list(keep))))
+
+
+def scatter_data(imp: DataFrame, perf: DataFrame, keys=("dataset_name", "evaluation_scenario", "null_imputer_name",
+                                                        "dataset_part"), quality="rmse", metric="F1") -> DataFrame:
+    """Mean imputation quality LEFT JOIN mean model performance on the run keys,
+    with the min and max of each per evaluation scenario joined back (window)."""
+    q = imp.groupBy(*keys).agg(F.avg(quality).alias("quality"))
+    p = perf.where(F.col("metric") == metric).groupBy(*keys).agg(F.avg("metric_value").alias("performance"))
+    j = q.join(p, list(keys), "left")
+    w = Window.partitionBy("evaluation_scenario")
+    return j.withColumns({"quality_min": F.min("quality").over(w), "quality_max": F.max("quality").over(w),
+                          "performance_min": F.min("performance").over(w),
+                          "performance_max": F.max("performance").over(w)})
+
+
+def outlier_filter(df: DataFrame, thresholds: dict, top_imputers=None) -> DataFrame:
+    """Drop rows whose metric exceeds its threshold; optional imputer whitelist."""
+    out = df
+    for m, t in thresholds.items():
+        out = out.where(F.col(m).isNull() | (F.col(m) <= F.lit(t)))
+    if top_imputers is not None:
+        out = out.where(F.col("null_imputer_name").isin(list(top_imputers)))
+    return out
+
+
+def comparison_name(df: DataFrame) -> DataFrame:
+    """model__imputer_seed label."""
+    return df.withColumn("comparison", F.concat(F.col("model_name"), F.lit("__"), F.col("null_imputer_name"),
+                                                F.lit("_"), F.col("experiment_seed").cast("string")))
+
+
+def setting_dimension(df: DataFrame, train_col="train_strategy", test_col="test_strategy") -> DataFrame:
+    """setting = train-test mechanism pair; reversed metric = 1 - abs(x)."""
+    return df.withColumn("setting", F.concat_ws("-", F.col(train_col), F.col(test_col)))
+
+
+def train_mechanism_to_scenario(train_mechanisms: DataFrame, scenarios: DataFrame,
+                                excluded=("exp1_mcar3", "exp1_mar3", "exp1_mnar3")) -> DataFrame:
+    """First evaluation scenario (by name) whose name contains the mechanism, three excluded."""
+    s = scenarios.where(~F.col("evaluation_scenario").isin(list(excluded)))
+    j = train_mechanisms.join(s, F.lower(F.col("evaluation_scenario")).contains(F.lower(F.col("train_mechanism"))))
+    return j.groupBy("train_mechanism").agg(F.min("evaluation_scenario").alias("evaluation_scenario"))
