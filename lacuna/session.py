@@ -62,3 +62,24 @@ def spread(df, key=None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key is not None else df.repartition(target)
+
+
+def write_barrier(df, tag: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder
+    and reading it back: later plans start from a plain scan (column pruning and
+    predicate pushdown apply), and the data survive executor loss."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/lacuna-{tag}-{uuid.uuid4().hex[:16]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), path
+
+
+def drop_path(spark, path: str):
+    """Remove an intermediate folder this library wrote (no-op if absent)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
