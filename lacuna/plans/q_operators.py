@@ -14,7 +14,7 @@ from ..operators.impute.simple import SimpleImputer, sql_num_stat, sql_rank_valu
 from ..operators.inject import inject, sql_inject
 from ..operators.inject_cells import bootstrap, random_cells, sql_random_cells, systematic_rates
 from ..operators.split import TRAIN, sql_train_test_split, train_test_split
-from ..sources.tables import DATASETS, base_sql, load
+from ..sources.tables import DATASETS, base_sql, load, read
 from .catalog import register
 from .scenarios import scenario_steps
 
@@ -137,3 +137,100 @@ def _i10(spark, sf):
     g = SimpleImputer("grid", "constant", p=75).fit(df, ["c_acctbal"], [])
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in {**p.stats, **g.stats}.items()}).select(
         "row_id", *spec.features)
+
+
+# ---- T4/T7 splits, P12 integrity, E9/E14/E20 ------------------------------------------------
+
+from ..operators.split import kfold, three_way_split  # noqa: E402
+from ..functions.hashing import sql_hash_index  # noqa: E402
+
+
+def _three_way_sql():
+    tkey = sql_hash_key(SEED, "split", "row_id")
+    vkey = sql_hash_key(SEED + 1, "val", "row_id")
+    return f"""
+WITH b AS (SELECT row_id, row_number() OVER (ORDER BY {tkey}) AS rt, count(*) OVER () AS n FROM ({BASE})),
+t AS (SELECT *, rt <= CAST(ceil(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS is_test FROM b),
+r AS (SELECT *, row_number() OVER (ORDER BY {vkey}) AS rv, count(*) OVER () AS m FROM t WHERE NOT is_test)
+SELECT row_id, 'X_test' AS part FROM t WHERE is_test
+UNION ALL
+SELECT row_id, CASE WHEN rv <= CAST(ceil(m * least(CAST(0.1 AS DOUBLE) / (1.0 - CAST(0.2 AS DOUBLE)), 1.0)) AS BIGINT)
+  THEN 'X_val' ELSE 'X_train_val' END AS part FROM r"""
+
+
+@register("three_way_split", _three_way_sql())
+def _t4(spark, sf):
+    return three_way_split(load(spark, sf, "orders").df, SEED, 0.2, 0.1).select("row_id", "part")
+
+
+@register("kfold_assignment",
+          f"SELECT row_id, CAST({sql_hash_index(sql_hash_key(SEED, 'fold', 'row_id'), 3)} AS INTEGER) AS fold FROM ({BASE})")
+def _t7(spark, sf):
+    return kfold(load(spark, sf, "orders").df, SEED, 3).select("row_id", "fold")
+
+
+@register("key_integrity", """
+SELECT CAST(o_custkey AS BIGINT) AS key, 'left_only' AS side FROM (SELECT DISTINCT o_custkey FROM orders) o
+  ANTI JOIN customer c ON o.o_custkey = c.c_custkey
+UNION ALL
+SELECT CAST(c_custkey AS BIGINT) AS key, 'right_only' AS side FROM (SELECT DISTINCT c_custkey FROM customer) c
+  ANTI JOIN orders o ON o.o_custkey = c.c_custkey""")
+def _p12(spark, sf):
+    from ..operators.nullops import integrity_violations
+    o = read(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("key")).distinct()
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key")).distinct()
+    return integrity_violations(o, c, "key")
+
+
+_MINMAX = ", ".join(
+    f"({c} - (SELECT min({c}) FROM ({_TRAIN}))) / ((SELECT max({c}) FROM ({_TRAIN})) - (SELECT min({c}) FROM ({_TRAIN})) "
+    f"+ CAST(1e-6 AS DOUBLE)) AS {c}" for c in ORD["numeric"])
+
+
+@register("encode_minmax", f"SELECT row_id, part, {_MINMAX} FROM ({_SPLIT})", doubles=tuple(ORD["numeric"]))
+def _e14(spark, sf):
+    spec = load(spark, sf, "orders")
+    split = train_test_split(spec.df, SEED, 0.2)
+    sc = ColumnScaler.fit(split.where(F.col("part") == TRAIN), list(spec.numeric), "minmax", eps=1e-6)
+    return sc.transform(split.select("row_id", "part", *spec.numeric))
+
+
+# The order-priority levels (a declared domain, no distinct job)
+PRIORITY_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _one_hot_sql():
+    cols = ", ".join(f"CAST(o_orderpriority = '{v}' AS INTEGER) AS " + chr(34) + f"o_orderpriority_{v}" + chr(34)
+                     for v in PRIORITY_LEVELS)
+    return f"SELECT row_id, {cols} FROM ({BASE})"
+
+
+@register("one_hot_priority", _one_hot_sql())
+def _e9(spark, sf):
+    from ..operators.encode import one_hot_columns
+    return one_hot_columns(load(spark, sf, "orders").df.select("row_id", "o_orderpriority"), "o_orderpriority",
+                           PRIORITY_LEVELS).drop("o_orderpriority")
+
+
+_VARS = ["o_totalprice", "c_acctbal", "label", "o_orderpriority", "c_nation"]
+
+
+def _vars_sql():
+    arms = []
+    for c in _VARS:
+        if c in ("o_orderpriority", "c_nation"):
+            arms.append(f"SELECT '{c}' AS name, 'categorical' AS type, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, "
+                        f"count(DISTINCT {c}) AS n_distinct, count(*) = count({c}) AS always_observed, FALSE AS target FROM ({BASE})")
+        else:
+            arms.append(
+                f"SELECT '{c}' AS name, CASE WHEN bool_and({c} = floor({c})) AND min({c}) >= 0 AND max({c}) <= 1 THEN 'binary' "
+                f"WHEN bool_and({c} = floor({c})) THEN 'categorical' ELSE 'continuous' END AS type, "
+                f"CAST(min({c}) AS DOUBLE) AS lower, CAST(max({c}) AS DOUBLE) AS upper, count(DISTINCT {c}) AS n_distinct, "
+                f"count(*) = count({c}) AS always_observed, {'TRUE' if c == 'label' else 'FALSE'} AS target FROM ({BASE})")
+    return " UNION ALL ".join(arms)
+
+
+@register("infer_variables", _vars_sql(), doubles=("lower", "upper"))
+def _e20(spark, sf):
+    from ..operators.encode import infer_variables
+    return infer_variables(load(spark, sf, "orders").df, _VARS, target="label")
