@@ -80,7 +80,7 @@ def kth_keys(df: DataFrame, key: str, need: dict, group: str | None = None,
         if hist is None:
             cond = None
             for g, (prefix, _) in state.items():
-                c = gcol == F.lit(g)
+                c = (gcol == F.lit(g)) if group else F.lit(True)
                 if prefix:
                     c = c & (F.substring(F.col(key), 1, len(prefix)) == F.lit(prefix))
                 cond = c if cond is None else (cond | c)
@@ -101,7 +101,9 @@ def kth_keys(df: DataFrame, key: str, need: dict, group: str | None = None,
         if final:
             cond = None
             for g, (prefix, _) in final.items():
-                c = (gcol == F.lit(g)) & (F.substring(F.col(key), 1, len(prefix)) == F.lit(prefix))
+                c = F.substring(F.col(key), 1, len(prefix)) == F.lit(prefix)
+                if group:
+                    c = (gcol == F.lit(g)) & c
                 cond = c if cond is None else (cond | c)
             ranks = F.create_map(*[x for g, (_, r) in final.items() for x in (F.lit(g), F.lit(r))])
             w = Window.partitionBy("g").orderBy(key)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .groups import membership, sql_membership
 
@@ -39,22 +38,28 @@ def cells(df: DataFrame, columns, sensitive: dict, value_type: str) -> DataFrame
 
 
 def categorical_kl(c: DataFrame) -> DataFrame:
-    """M4 for scopes 'pred' (nulled cells) and 'total' (all cells of the group)."""
+    """M4 for scopes 'pred' (nulled cells) and 'total' (all cells of the group).
+
+    Per-group totals come from group-bys (one row per group, bounded by the
+    spec) joined back, never from a window over the values: a column with many
+    distinct values would otherwise land in one task."""
+    g = KEYS + ["scope"]
     scoped = c.select(*KEYS, "t", "p", F.explode(F.when(F.col("miss"), F.array(F.lit("pred"), F.lit("total")))
                                                   .otherwise(F.array(F.lit("total")))).alias("scope"))
-    sides = scoped.select(*KEYS, "scope", F.explode(F.array(
+    sides = scoped.select(*g, F.explode(F.array(
         F.struct(F.col("t").alias("v"), F.lit(1).alias("it"), F.lit(0).alias("ip")),
         F.struct(F.col("p").alias("v"), F.lit(0).alias("it"), F.lit(1).alias("ip")))).alias("s"))
-    counts = sides.where(F.col("s.v").isNotNull()).groupBy(*KEYS, "scope", F.col("s.v").alias("v")).agg(
+    counts = sides.where(F.col("s.v").isNotNull()).groupBy(*g, F.col("s.v").alias("v")).agg(
         F.sum("s.it").alias("ct"), F.sum("s.ip").alias("cp"))
-    w = Window.partitionBy(*KEYS, "scope")
-    shares = counts.select(
-        *KEYS, "scope",
-        F.when(F.col("ct") > 0, F.col("ct") / F.sum("ct").over(w)).otherwise(F.lit(ABSENT)).alias("pt"),
-        F.when(F.col("cp") > 0, F.col("cp") / F.sum("cp").over(w)).otherwise(F.lit(ABSENT)).alias("pq"))
-    norm = shares.select(*KEYS, "scope", (F.col("pt") / F.sum("pt").over(w)).alias("pt"),
-                         (F.col("pq") / F.sum("pq").over(w)).alias("pq"))
-    kl = norm.groupBy(*KEYS, "scope").agg(F.sum(F.col("pt") * F.log(F.col("pt") / F.col("pq"))).alias("kl"))
+    tot = counts.groupBy(*g).agg(F.sum("ct").alias("nt"), F.sum("cp").alias("np"))
+    shares = counts.join(F.broadcast(tot), g).select(
+        *g, F.when(F.col("ct") > 0, F.col("ct") / F.col("nt")).otherwise(F.lit(ABSENT)).alias("pt"),
+        F.when(F.col("cp") > 0, F.col("cp") / F.col("np")).otherwise(F.lit(ABSENT)).alias("pq"))
+    # KL of the renormalised vectors: (1/SP) sum pt ln(pt/pq) + ln(SQ/SP)
+    kl = shares.groupBy(*g).agg(
+        F.sum("pt").alias("SP"), F.sum("pq").alias("SQ"),
+        F.sum(F.col("pt") * F.log(F.col("pt") / F.col("pq"))).alias("SPL")).select(
+        *g, (F.col("SPL") / F.col("SP") + F.log(F.col("SQ") / F.col("SP"))).alias("kl"))
     return (kl.groupBy(*KEYS).pivot("scope", ["pred", "total"]).agg(F.first("kl"))
             .withColumnRenamed("pred", "kl_divergence_pred").withColumnRenamed("total", "kl_divergence_total"))
 
