@@ -99,3 +99,34 @@ def sql_imputation_metrics(spec_name: str, numeric, categorical, sensitive, test
     return (f"WITH parts AS MATERIALIZED ({parts}), imputed AS MATERIALIZED ({imputed}) "
             f"SELECT '{spec_name}' AS dataset_name, '{imputer}' AS null_imputer_name, "
             f"'{evaluation_scenario}' AS evaluation_scenario, {seed} AS experiment_seed, * FROM ({body})")
+
+
+def run_grid(spec: TableSpec, imputers, scenarios, seeds, store=None, numeric_kl: bool = True,
+             save_imputed: bool = False) -> DataFrame:
+    """Imputers x evaluation scenarios x seeds.  The injected parts of a
+    (scenario, seed) are built once and shared by every imputer; each run's metric
+    rows carry guids, runtime and session (M12) and are appended to ``store``
+    (S8) when given, with the imputed parts saved (S5) on request.  Returns the
+    union of all metric rows (read back from the store when one is used)."""
+    from functools import reduce
+
+    from ..sources.store import with_metric_keys
+    frames = []
+    for scenario in scenarios:
+        for seed in seeds:
+            parts = prepare_parts(spec, scenario, seed)
+            for imp in imputers:
+                imputed, _, minutes = impute(spec, parts, imp)
+                m = score(imputed, spec.numeric, spec.categorical, spec.sensitive, numeric_kl=numeric_kl)
+                m = m.select(F.lit(spec.name).alias("dataset_name"), F.lit(imp).alias("null_imputer_name"),
+                             F.lit(scenario).alias("evaluation_scenario"), F.lit(seed).alias("experiment_seed"),
+                             *m.columns)
+                frames.append(with_metric_keys(m, minutes, store.session_uuid if store else None))
+                if store is not None and save_imputed:
+                    store.save_imputed(imputed.select("part", "row_id", *spec.features), spec.name, imp,
+                                       scenario, seed)
+    rows = reduce(lambda a, b: a.unionByName(b), frames)
+    if store is None:
+        return rows
+    store.append("imputation_metrics", rows)
+    return store.read("imputation_metrics", dataset_name=spec.name)

@@ -9,17 +9,14 @@ folder and read back by every report.  The SQL twin rebuilds the same rows
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import report as R
-from ..operators.score.cells import score
 from ..operators.score.groups import membership, sql_membership
-from ..sources.store import MetricStore, sql_guid, with_metric_keys
+from ..sources.store import MetricStore, sql_guid
 from ..sources.tables import DATASETS, base_sql, load
 from .catalog import register
-from .experiment import impute, prepare_parts, sql_imputation_metrics
+from .experiment import run_grid, sql_imputation_metrics
 
 GRID_IMPUTERS = ["median-mode", "median-dummy", "mean-mode"]
 GRID_SEEDS = [100, 200]
@@ -29,22 +26,12 @@ _MEMO: dict = {}
 
 
 def report_store(spark, sf):
+    """The metric table the reports read: one ``run_grid`` per session and sf,
+    written under the shared checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
-        spec = load(spark, sf, "orders")
         store = MetricStore(spark)
-        frames = []
-        for seed in GRID_SEEDS:
-            parts = prepare_parts(spec, GRID_SCENARIO, seed)
-            for imp in GRID_IMPUTERS:
-                imputed, _, minutes = impute(spec, parts, imp)
-                m = score(imputed, spec.numeric, spec.categorical, spec.sensitive)
-                m = m.select(F.lit(spec.name).alias("dataset_name"), F.lit(imp).alias("null_imputer_name"),
-                             F.lit(GRID_SCENARIO).alias("evaluation_scenario"),
-                             F.lit(seed).alias("experiment_seed"), *m.columns)
-                frames.append(with_metric_keys(m, minutes, store.session_uuid))
-            parts.unpersist()
-        store.append("imputation_metrics", reduce(lambda a, b: a.unionByName(b), frames))
+        run_grid(load(spark, sf, "orders"), GRID_IMPUTERS, [GRID_SCENARIO], GRID_SEEDS, store)
         _MEMO[key] = store.path("imputation_metrics")
     return spark.read.parquet(_MEMO[key])
 
