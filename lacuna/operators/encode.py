@@ -203,3 +203,21 @@ def infer_variables(df: DataFrame, columns, target: str | None = None) -> DataFr
     return df.sparkSession.createDataFrame(
         out, "name string, type string, lower double, upper double, n_distinct long, "
              "always_observed boolean, target boolean")
+
+
+def mixed_preprocess(train: DataFrame, numeric, categorical, *others: DataFrame):
+    """Numerics mean-imputed then min-max scaled (train statistics);
+    categoricals filled with 'missing' and one-hot encoded over the domain of
+    train and the other parts; returns a function applying it to any part."""
+    means = train.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    filled = train.fillna(means).fillna("missing", subset=list(categorical))
+    scaler = ColumnScaler.fit(filled, list(numeric), "minmax")
+    dom_src = [o.fillna("missing", subset=list(categorical)) for o in others]
+    domain = OrdinalCodes.fit(filled, list(categorical), *dom_src).labels
+
+    def apply(df: DataFrame) -> DataFrame:
+        out = scaler.transform(df.fillna(means).fillna("missing", subset=list(categorical)))
+        for c in categorical:
+            out = one_hot_columns(out, c, domain[c]).drop(c)
+        return out
+    return apply

@@ -234,3 +234,25 @@ def _vars_sql():
 def _e20(spark, sf):
     from ..operators.encode import infer_variables
     return infer_variables(load(spark, sf, "orders").df, _VARS, target="label")
+
+
+from ..operators.split import capped_slices  # noqa: E402
+
+
+def _slices_sql(val_size, max_size):
+    key = sql_hash_key(SEED, "slices", "row_id")
+    return f"""
+WITH r AS (SELECT row_id, row_number() OVER (ORDER BY {key}) AS rn, least(count(*) OVER (), {max_size}) AS n FROM ({BASE}))
+SELECT row_id, CASE WHEN rn <= {val_size} THEN 'X_val'
+                    WHEN rn <= {val_size} + CAST(floor(CAST(0.3 AS DOUBLE) * (n - {val_size})) AS BIGINT) THEN 'X_test'
+                    ELSE 'X_train_val' END AS part
+FROM r WHERE rn <= n"""
+
+
+# Validation size and row cap of the capped slices (the operator's parameters).
+SLICE_VAL, SLICE_MAX = 1000, 10000
+
+
+@register("capped_slices", _slices_sql(SLICE_VAL, SLICE_MAX))
+def _t5(spark, sf):
+    return capped_slices(load(spark, sf, "orders").df, SEED, SLICE_VAL, SLICE_MAX).select("row_id", "part")
