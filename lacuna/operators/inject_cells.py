@@ -61,12 +61,26 @@ def random_cells(df: DataFrame, rates, seed: int, row_id: str = "row_id", column
     return out.drop(*[f"__m_{c}" for c in cols])
 
 
-def sql_random_cells(src: str, rates: dict, seed: int, row_id: str = "row_id") -> str:
-    """Twin of ``random_cells(..., guard=False)``."""
-    repl = ", ".join(
-        f"CASE WHEN {sql_hash_unit(sql_hash_key(seed, f'cell:{c}', row_id))} <= CAST({p!r} AS DOUBLE) "
-        f"THEN NULL ELSE {c} END AS {c}" for c, p in rates.items())
-    return f"SELECT * REPLACE ({repl}) FROM ({src})"
+def sql_random_cells(src: str, rates: dict, seed: int, row_id: str = "row_id", guard: bool = False) -> str:
+    """Twin of ``random_cells``."""
+    cols = list(rates)
+    hit = {c: f"({sql_hash_unit(sql_hash_key(seed, f'cell:{c}', row_id))} <= CAST({rates[c]!r} AS DOUBLE))" for c in cols}
+    if not guard:
+        repl = ", ".join(f"CASE WHEN {hit[c]} THEN NULL ELSE {c} END AS {c}" for c in cols)
+        return f"SELECT * REPLACE ({repl}) FROM ({src})"
+    keep = int(len(cols) * (1 - sum(rates.values()) / len(cols)))
+    u = {c: f"__u_{i}" for i, c in enumerate(cols)}
+    h = {c: f"__h_{i}" for i, c in enumerate(cols)}
+    inner = ", ".join([f"{hit[c]} AS {h[c]}" for c in cols] +
+                      [f"{sql_hash_unit(sql_hash_key(seed, f'restore:{c}', row_id))} AS {u[c]}" for c in cols])
+    all_hit = " AND ".join(h[c] for c in cols)
+    repl = []
+    for c in cols:
+        rank = " + ".join(f"CAST(({u[o]} < {u[c]}) OR ({u[o]} = {u[c]} AND {str(o < c).upper()}) AS INTEGER)"
+                          for o in cols if o != c) or "0"
+        repl.append(f"CASE WHEN {h[c]} AND NOT (({all_hit}) AND ({rank}) < {keep}) THEN NULL ELSE {c} END AS {c}")
+    drop = ", ".join(list(u.values()) + list(h.values()))
+    return f"SELECT * EXCLUDE ({drop}) REPLACE ({', '.join(repl)}) FROM (SELECT *, {inner} FROM ({src}))"
 
 
 def bootstrap(df: DataFrame, seed: int, row_id: str = "row_id", replica: int = 0, kmax: int = 12) -> DataFrame:

@@ -44,7 +44,9 @@ def _j11(spark, sf):
     return random_cells(load(spark, sf, "orders").df, SYSTEMATIC_RATES, SEED, guard=False).select("row_id", *FEATS)
 
 
-@register("inject_random_cells_guarded", None)
+@register("inject_random_cells_guarded",
+          f"SELECT row_id, {', '.join(FEATS)} FROM ({sql_random_cells(BASE, {c: 0.7 for c in FEATS}, SEED, guard=True)})",
+          doubles=ORD["numeric"])
 def _j12(spark, sf):
     return random_cells(load(spark, sf, "orders").df, {c: 0.7 for c in FEATS}, SEED, guard=True).select("row_id", *FEATS)
 
