@@ -47,8 +47,9 @@ def _pair_dist(qn, qc, dn, dc, total_dims, cat_width):
         neq[~ok] = False
         d2 += neq * 2.0
         present += ok * cat_width[j]
-    scale = np.where(present > 0, total_dims / np.maximum(present, 1), np.inf)
-    return np.sqrt(d2 * scale[:, None])
+    # no common coordinate: infinitely far from every donor (ties then break on the donor id)
+    scale = total_dims / np.maximum(present, 1)
+    return np.where((present > 0)[:, None], np.sqrt(d2 * scale[:, None]), np.inf)
 
 
 def _euclid(qm, dm, budget: float = 2e7):
@@ -217,19 +218,24 @@ def weighted_neighbour_impute(df: DataFrame, train_part: str, numeric, k: int =
     nn = knn_topk(queries, donors, k, "qkey", "donor_id", list(numeric))
     vals = train.where(complete).select(F.col(row_id).alias("donor_id"), *numeric)
     j = nn.join(vals, "donor_id")
-    exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("qkey"))
-    w = F.when(exact == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
+    exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("qkey"))  # k rows per query
+    w = F.when(exact == 1, (F.col("dist") == 0).cast("double")).otherwise(
+        F.when(F.col("dist") == float("inf"), F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("dist"))))
     j = j.withColumn("w", w)
     aggs = []
     for c in numeric:
-        mean = F.sum(F.col("w") * F.col(c)) / F.sum("w")
+        mean = F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w"))
         aggs += [mean.alias(f"__v_{c}"),
-                 F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col(c) * F.col(c)) / F.sum("w") - mean * mean)).alias(f"__u_{c}")]
+                 F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(F.col("w") * F.col(c) * F.col(c)), F.sum("w"))
+                                   - mean * mean)).alias(f"__u_{c}")]
     out = j.groupBy("qkey").agg(*aggs)
+    fallback = train.agg(*[F.avg(c).alias(c) for c in numeric]).first()
     fill = {}
     for c in numeric:
         ok = F.lit(True) if tau is None else (F.col(f"__u_{c}") <= F.lit(tau))
-        fill[c] = F.coalesce(F.col(c), F.when(ok, F.col(f"__v_{c}")))
+        # a row with no finite-distance neighbour falls back to the train mean
+        fill[c] = F.coalesce(F.col(c), F.when(ok, F.col(f"__v_{c}")),
+                             F.lit(fallback[c]) if tau is None else F.lit(None).cast("double"))
     filled = qrows.join(out, "qkey", "left").withColumns(fill)
     return df.where(complete).unionByName(filled.select(*df.columns))
 
