@@ -129,3 +129,34 @@ def test_streaming_imputer(spark, tmp_path):
     run_available(impute_stream(stream, model), str(tmp_path / "ck"), sink_name="imputed_events")
     assert spark.sql("SELECT count(*) FROM imputed_events WHERE value IS NULL").first()[0] == 0
     assert spark.sql("SELECT count(*) FROM imputed_events").first()[0] == ev.count()
+
+
+def test_run_grid_store_and_imputed_sets(spark, tmp_path):
+    from lacuna.plans.experiment import run_grid
+    from lacuna.sources.store import MetricStore
+    spec = load(spark, SF_SMALL, "orders")
+    st = MetricStore(spark, str(tmp_path / "grid"))
+    m = run_grid(spec, ["median-mode", "deletion"], ["exp1_mcar3"], [100], st, numeric_kl=False, save_imputed=True)
+    got = {(r.null_imputer_name, r.dataset_part) for r in m.select("null_imputer_name", "dataset_part").distinct().collect()}
+    assert ("median-mode", "X_train_val") in got and ("deletion", "X_test_MAR3") in got
+    assert ("deletion", "X_train_val") not in got  # deletion leaves no nulled train cell to score
+    assert m.groupBy("imputation_guid").count().where("count > 1").count() == 0
+    back = st.load_imputed("orders", "median-mode", "exp1_mcar3", 100, categorical=orders_cats(spec))
+    assert back.where(" OR ".join(f"{c} IS NULL" for c in spec.features)).count() == 0
+    assert {r.imputer for r in st.repaired_train_sets("orders", "exp1_mcar3", 100).select("imputer").distinct().collect()} \
+        == {"median-mode"}
+
+
+def orders_cats(spec):
+    return list(spec.categorical)
+
+
+def test_weighted_neighbours_never_nan(spark):
+    from lacuna.operators.impute.neighbour import weighted_neighbour_impute
+    df = spark.createDataFrame(
+        [("X_train_val", i, float(i), float(2 * i)) for i in range(1, 30)] +
+        [("X_test", 100, None, None), ("X_test", 101, 3.0, None), ("X_test", 102, 5.0, 10.0)],
+        "part string, row_id long, a double, b double")
+    out = {r.row_id: r for r in weighted_neighbour_impute(df, "X_train_val", ["a", "b"], k=3).collect()}
+    assert out[100].a == pytest.approx(15.0) and out[100].b == pytest.approx(30.0)  # train mean fallback
+    assert out[101].b == pytest.approx(6.0)  # exact neighbour on a takes all the weight
