@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import drop_path, write_barrier
 
+#: Bytes of one Arrow batch handed to Python.
+BATCH_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +22,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
+        # rows of texts differ in length by orders of magnitude: bound a batch by its bytes too
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         out, self.paths[name] = write_barrier(df, f"{self.tag}-{name}")

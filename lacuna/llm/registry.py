@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("shard_tree",)
+MODULES = ("ngram_join", "shard_tree", "packing", "zipwarc", "mixing")
 
 
 def _modules():
