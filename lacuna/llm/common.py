@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..session import drop_path, write_barrier
 
@@ -15,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts differ in length by orders of magnitude: bound Arrow batches by bytes, not by
+    rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet under the folder
     in ``spark.checkpoint.dir`` and read back: the next step starts from durable files,
@@ -22,8 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
-        # rows of texts differ in length by orders of magnitude: bound a batch by its bytes too
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         out, self.paths[name] = write_barrier(df, f"{self.tag}-{name}")
@@ -50,6 +56,11 @@ def sql_draw(seed, salt: str, *ids: str) -> str:
             f" / {float(1 << 52)!r})")
 
 
+def sortable(df: DataFrame, but: tuple = ()) -> list[str]:
+    """The columns that rows can be ordered by (no maps or other nested values)."""
+    return [f.name for f in df.schema.fields if f.name not in but and isinstance(f.dataType, AtomicType)]
+
+
 def text_bytes(text: Column | str) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")

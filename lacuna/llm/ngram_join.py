@@ -233,9 +233,9 @@ def _verify(threshold: float):
 
 def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
                    max_hashes: int = MAX_HASHES, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of the group of linked
-    classes), copy_of (smallest id with an equal normalised text), copies, n_links (verified
-    classes other than its own)."""
+    """One row per row of ``docs``: doc_id, key (of the normalised text), class_id (smallest id
+    of the group of linked classes), copy_of (smallest id with an equal normalised text),
+    copies, n_links (verified classes other than its own), first (its class holds class_id)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram")
     bands, rows = band_plan(threshold, recall, max_hashes)
@@ -274,18 +274,32 @@ def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     per_class = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     grouped = (classes.select("key", "copy_of", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left")
                .join(per_class, "key", "left"))
-    smallest = (grouped.where("label is not null").groupBy("label").agg(F.min("copy_of").alias("class_id")))
-    grouped = (grouped.join(smallest, "label", "left")
-               .select("key", "copy_of", "copies", F.coalesce("class_id", "copy_of").alias("class_id"),
-                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    order = F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "key")
+    smallest = grouped.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
+    grouped = grouped.join(smallest, "label", "left")
+    grouped = grouped.select(
+        "key", "copy_of", "copies", F.when(F.col("first").isNull(), F.col("copy_of")).otherwise(F.col("first.copy_of")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce(F.col("key") == F.col("first.key"), F.lit(True)).alias("first"))
     grouped = scratch.write(grouped, "grouped")
-    out = signed.select("doc_id", "key").join(grouped, "key").select("doc_id", "class_id", "copy_of", "copies", "n_links")
+    out = signed.select("doc_id", "key").join(grouped, "key").select("doc_id", "key", "class_id", "copy_of", "copies", "n_links", "first")
     scratch.drop("member", "sets", "blocks", "placed", "links", "classes")
     return out
 
 
+def deduplicate(docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs`` for each group of linked texts: a row with the group's smallest
+    id; blank texts are one group."""
+    groups = jaccard_groups(docs, **how)
+    stays = (groups.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+             .select(F.col("doc_id").alias("__id"), F.col("key").alias("__want")).distinct())
+    own = docs.withColumn("__key", F.md5(normalised("text")))
+    met = own.join(stays, (F.col("__key") == F.col("__want")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
+    return met.dropDuplicates(["__key"]).drop("__key")
+
+
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "copies", "n_links")
 
 
 QUERIES = {"op9_ngram_jaccard": op9_ngram_jaccard}

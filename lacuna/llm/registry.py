@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "shard_tree", "packing", "zipwarc", "mixing")
+MODULES = ("quality", "line_dedup", "partition_ann", "quotes", "shard_tree", "packing", "zipwarc", "pivots", "ngram_join", "mixing")
 
 
 def _modules():

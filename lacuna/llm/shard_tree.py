@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, gapless, sql_draw, table, text_bytes
+from .common import draw, gapless, sortable, sql_draw, table, text_bytes
 
 SEED = 11
 SHARDS = 24
@@ -70,8 +70,7 @@ def slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot") -> D
     """A gapless number from 0 inside each shard, in the order of hashed keys.  Parts are
     4096 ranges of the hash, so no task holds a shard; rows with equal keys share a part."""
     ordered = df.withColumn("__key", F.md5(F.concat_ws("|", F.lit("slot"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    rest = [c for c in df.columns if c not in (key, shard)]
-    return gapless(ordered, [shard], F.substring("__key", 1, 3), ["__key", key, *rest], out).drop("__key")
+    return gapless(ordered, [shard], F.substring("__key", 1, 3), ["__key", key, *sortable(df, (key, shard))], out).drop("__key")
 
 
 def op5_shard_tree(spark, sf_dir: str) -> DataFrame:

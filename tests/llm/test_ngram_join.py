@@ -1,6 +1,4 @@
-import re
-from collections import defaultdict
-
+import brute as B
 import duckdb
 import numpy as np
 import pytest
@@ -9,50 +7,6 @@ from lacuna.llm import ngram_join as J
 SF_MID = "/root/testdata/sf0.01"
 
 
-def grams(text, n=5):
-    w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
-    return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
-
-
-def brute(rows, threshold=0.8):
-    """class id and verified different classes of every row, from all pairs."""
-    norm = [" ".join(re.sub(r"[\W_]+", " ", (t or "").lower()).split()) for _, t in rows]
-    texts = sorted(set(norm))
-    sets = [grams(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links = [0] * len(texts)
-    where = defaultdict(list)
-    for i, s in enumerate(sets):
-        for g in s:
-            where[g].append(i)
-    for i, s in enumerate(sets):
-        shared = defaultdict(int)
-        for g in s:
-            for j in where[g]:
-                if j > i:
-                    shared[j] += 1
-        for j, c in shared.items():
-            if c >= threshold * (len(s) + len(sets[j]) - c) - 1e-9:
-                links[i] += 1
-                links[j] += 1
-                parent[find(j)] = find(i)
-    ids = defaultdict(list)
-    for (d, _), t in zip(rows, norm):
-        ids[t].append(d)
-    low = lambda xs: min((x for x in xs if x is not None), default=None)
-    group = defaultdict(list)
-    for k, t in enumerate(texts):
-        group[find(k)] += ids[t]
-    at = {t: k for k, t in enumerate(texts)}
-    return sorted(((d, low(group[find(at[t])]), low(ids[t]), len(ids[t]), links[at[t]]) for (d, _), t in zip(rows, norm)), key=str)
-
-
 def got(df):
     return sorted((tuple(r) for r in df.select("doc_id", "class_id", "copy_of", "copies", "n_links").collect()), key=str)
 
@@ -67,7 +21,7 @@ def test_band_plan_reaches_recall():
 def test_whole_table_against_brute_force(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF_MID}/documents.parquet'").fetchall()
     out = got(J.op9_ngram_jaccard(spark, SF_MID))
-    want = brute(rows)
+    want = B.jaccard_rows(rows)
     assert [r[:4] for r in out] == [r[:4] for r in want]
     assert sum(r[4] for r in out) >= 0.998 * sum(r[4] for r in want)
     assert sum(r[4] for r in want) > 10
@@ -79,7 +33,7 @@ def test_edges(spark, docs_of):
     rows = [(1, None), (2, ""), (3, "!!! ---"), (4, "one two"), (5, "One, two."), (6, "one two three"), (None, " ".join(base)),
             (8, " ".join(base)), (8, " ".join(base)), (9, " ".join(base[:-1] + ["z"])), (10, long), (11, long + " tail"), (10, "another text"),
             (12, None)]
-    assert got(J.jaccard_groups(docs_of(rows))) == brute(rows)
+    assert got(J.jaccard_groups(docs_of(rows))) == B.jaccard_rows(rows)
 
 
 def test_empty(spark, docs_of):
@@ -96,7 +50,15 @@ def test_large_near_group_in_blocks(spark, docs_of, monkeypatch, rows):
         w = list(base)
         w[rng.integers(60)] = f"u{d}"
         docs.append((d, " ".join(w)))
-    out, want = got(J.jaccard_groups(docs_of(docs))), brute(docs)
+    out, want = got(J.jaccard_groups(docs_of(docs))), B.jaccard_rows(docs)
     assert [r[:2] for r in out] == [r[:2] for r in want]
     assert sum(r[4] for r in out) >= 0.99 * sum(r[4] for r in want)
     assert all(a[4] <= b[4] for a, b in zip(out, want))
+
+
+def test_deduplicate_keeps_one_row_a_group(spark, docs_of):
+    base = " ".join(f"t{i}" for i in range(40))
+    rows = [(5, base), (3, base + " z"), (3, base + " z"), (9, "other words here"), (None, ""), (2, None), (4, "Other words, here!")]
+    out = J.deduplicate(docs_of(rows)).select("doc_id", "text").collect()
+    assert sorted((r[0] for r in out)) == [2, 3, 4]
+    assert J.deduplicate(docs_of([])).collect() == []
