@@ -51,6 +51,8 @@ FALSE_ALARMS, BELIEF = 0.005, 0.05
 AGREE = 1.5
 #: Texts with fewer words tell too little: all labellers abstain.
 LEAST_WORDS = 20
+#: The scorer adds to every text this many words that say what the prior says.
+PRIOR_WORDS = 5
 
 
 # ---- views of a batch -------------------------------------------------------------------
@@ -237,25 +239,35 @@ def _features(hashes, shapes, repeat) -> np.ndarray:
     return np.stack([hashes & mask, shapes & mask, mix64(said) & mask], axis=1).astype(np.int32)
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 150, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
+def _logit(p: float) -> float:
+    p = min(max(p, 0.05), 0.95)
+    return float(np.log(p / (1 - p)))
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], prior: float, steps: int = 150, rate: float = 0.5,
+               shrink: float = 1e-4) -> np.ndarray:
     """Logistic weights (the last is the intercept) from (feature, value, target) rows, by
-    full-batch gradient steps with per-weight scaling; deterministic."""
+    full-batch gradient steps with per-weight scaling; deterministic.  A row's values add up
+    to three times its weight of evidence, and the rest of 1 is the prior's."""
     index = np.concatenate([r[0] for r in rows]).astype(np.int64)
     value = np.concatenate([r[1] for r in rows]).astype(np.float64)
     at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
     owner = np.repeat(np.arange(len(rows)), np.diff(at))
     target = np.array([r[2] for r in rows])
+    sure = np.bincount(owner, value, len(rows)) / 3
+    rest = (1 - sure) * _logit(prior)
     used, index = np.unique(index, return_inverse=True)
     w, b = np.zeros(len(used)), 0.0
     scale, scale_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(owner, value * w[index], len(rows)) + b
+        z = np.bincount(owner, value * w[index], len(rows)) + b * sure + rest
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
+        slope = (err * sure).mean()
         g = np.bincount(index, value * err[owner], len(used)) / len(rows) + shrink * w
         scale += g * g
-        scale_b += err.mean() ** 2
+        scale_b += slope ** 2
         w -= rate * g / np.sqrt(scale)
-        b -= rate * err.mean() / np.sqrt(scale_b)
+        b -= rate * slope / np.sqrt(scale_b)
     out = np.zeros(BUCKETS + 1)
     out[used], out[-1] = w, b
     return out
@@ -299,7 +311,7 @@ def sample_rows(docs: DataFrame, share: float, doc_id: str = "doc_id", text: str
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     u, c = np.unique(f[a:b], return_counts=True)
                     feats.append(u)
-                    values.append((c / max(1, b - a)).astype(np.float32))
+                    values.append((c / (b - a + PRIOR_WORDS)).astype(np.float32))
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in feats])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(pattern) if pattern else np.zeros(0, np.int64)),
@@ -319,7 +331,7 @@ class Classifier:
     def score(self, docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
         """The columns to carry (all by default) with p_label (label model) and score (scorer)
         of every row."""
-        stop, labels, weights = _stop_hashes(), self.labels, self.weights.astype(np.float32)
+        stop, labels, weights, prior = _stop_hashes(), self.labels, self.weights.astype(np.float32), _logit(self.labels.prior)
 
         def run(batches):
             import pyarrow as pa
@@ -330,7 +342,7 @@ class Classifier:
                     n = np.diff(bounds)
                     per_word = weights[_features(hashes, shapes, repeat)].sum(axis=1, dtype=np.float64)
                     total = np.concatenate([[0.0], np.cumsum(per_word)])
-                    z = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1) + weights[-1]
+                    z = (total[bounds[1:]] - total[bounds[:-1]] + n * weights[-1] + PRIOR_WORDS * prior) / (n + PRIOR_WORDS)
                     s[i:j] = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
                 cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "__t"]
                 names = [n for n in batch.schema.names if n != "__t"]
@@ -354,7 +366,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         rows = sample_rows(docs, 2.0, doc_id, text, seed).limit(2 * sample).collect()
     target = labels.posterior(votes_from(np.array([r["pattern"] for r in rows])))
     rows = sorted(zip(rows, target), key=lambda x: (x[0]["features"], x[0]["weights"]))  # independent of the partitioning
-    weights = fit_scorer([(np.array(r["features"], np.int64), np.array(r["weights"]), t) for r, t in rows])
+    weights = fit_scorer([(np.array(r["features"], np.int64), np.array(r["weights"]), t) for r, t in rows], labels.prior)
     return Classifier(labels, weights)
 
 
