@@ -79,21 +79,22 @@ def reply_links(lines: DataFrame, thread: str, turn: str, scratch: Scratch) -> D
 
 
 def roots(replies: DataFrame, scratch: Scratch) -> DataFrame:
-    """thread, turn, root, depth of every message with a parent, by doubling the way up."""
-    state, old = scratch.write(replies.where("parent is not null").select(
-        "thread", "turn", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")), "up0"), "up0"
+    """thread, turn, root, depth of every message with a parent, by doubling the way up;
+    messages that have reached their root leave the later rounds."""
+    state = scratch.write(replies.where("parent is not null").select(
+        "thread", "turn", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")), "up0")
+    done = state.limit(0)
     for i in range(1, 64):
-        up = state.select(F.col("thread").alias("__thread"), F.col("turn").alias("__turn"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+        up = done.unionByName(state).toDF("__thread", "__turn", "__root", "__depth")
         nxt = state.join(up, (F.col("thread") == F.col("__thread")) & (F.col("root") == F.col("__turn")), "left")
         nxt = scratch.write(nxt.select("thread", "turn", F.coalesce("__root", "root").alias("root"),
                                        (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
                                        F.col("__root").isNotNull().alias("moved")), f"up{i}")
-        moved = nxt.where("moved").limit(1).count()
-        scratch.drop(old)
-        state, old = nxt.drop("moved"), f"up{i}"
-        if not moved:
+        done = done.unionByName(nxt.where(~F.col("moved")).drop("moved"))
+        state = nxt.where("moved").drop("moved")
+        if state.isEmpty():
             break
-    return state
+    return done
 
 
 def link_quotes(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text",
