@@ -1,5 +1,5 @@
 """Bench: run the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and print
-one JSON line.  Each query is timed from the builder call (its eager fit /
+one JSON line.  Each query starts cold (no shared experiment, no cached table) and is timed from the builder call (its eager fit /
 threshold jobs included) to the end of a full ``noop`` write of the result."""
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ def main():
     qs["split_train_test"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
+        catalog.reset()
+        spark.catalog.clearCache()
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)

@@ -5,32 +5,52 @@ A NULL cell never satisfies a condition (pandas NaN comparisons are False too).
 
 from __future__ import annotations
 
+import functools
+import operator
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OPS = {"ge": ">=", "gt": ">", "le": "<=", "lt": "<"}
+@dataclass(frozen=True)
+class Range:
+    """An interval with at most one bound on either side; a bound is (value, closed)."""
+
+    low: tuple | None = None
+    high: tuple | None = None
+
+    @classmethod
+    def of(cls, spec: dict) -> "Range":
+        ends = {"ge": ("low", True), "gt": ("low", False), "le": ("high", True), "lt": ("high", False)}
+        bounds = {}
+        for key, value in spec.items():
+            side, closed = ends.get(key, (None, None))
+            if side is None:
+                raise ValueError(f"unknown range key {key!r}; a range is written with {', '.join(ends)}")
+            if side in bounds:
+                raise ValueError(f"the range {spec} has two {side} bounds")
+            bounds[side] = (value, closed)
+        if not bounds:
+            raise ValueError("a range needs a bound")
+        return cls(**bounds)
 
+    def terms(self):
+        """(operator, value) of each bound, the lower one first."""
+        if self.low is not None:
+            yield (">=" if self.low[1] else ">"), self.low[0]
+        if self.high is not None:
+            yield ("<=" if self.high[1] else "<"), self.high[0]
 
-def _check_range(cond: dict):
-    counts = {"g": 0, "l": 0}
-    for sym in cond:
-        if sym not in _OPS:
-            raise ValueError(f"Condition symbol {sym} is not in ('ge', 'gt', 'le', 'lt')")
-        counts[sym[0]] += 1
-    if counts["g"] > 1 or counts["l"] > 1:
-        raise ValueError("Condition should not include more than one greater symbol or more than one less symbol")
+
+_COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
 
 
 def condition(column: str, value, include: bool = True) -> Column:
     c = F.col(column)
-    if isinstance(value, (list, tuple)):
+    if isinstance(value, dict):
+        pred = functools.reduce(operator.and_, (_COMPARE[op](c, v) for op, v in Range.of(value).terms()))
+    elif isinstance(value, (list, tuple)):
         pred = c.isin(list(value))
-    elif isinstance(value, dict):
-        _check_range(value)
-        pred = None
-        for sym, v in value.items():
-            p = {"ge": c >= v, "gt": c > v, "le": c <= v, "lt": c < v}[sym]
-            pred = p if pred is None else (pred & p)
     else:
         pred = c == F.lit(value)
     if not include:
@@ -53,8 +73,7 @@ def sql_condition(column: str, value, include: bool = True) -> str:
     if isinstance(value, (list, tuple)):
         pred = f"{column} IN ({', '.join(sql_literal(v) for v in value)})"
     elif isinstance(value, dict):
-        _check_range(value)
-        pred = " AND ".join(f"{column} {_OPS[s]} {sql_literal(v)}" for s, v in value.items())
+        pred = " AND ".join(f"{column} {op} {sql_literal(v)}" for op, v in Range.of(value).terms())
     else:
         pred = f"{column} = {sql_literal(value)}"
     if not include:

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +30,12 @@ class OrdinalCodes:
         for o in others:
             src = src.unionByName(o.select(*columns))
         arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
-        rows = (src.select(F.explode(arr).alias("x")).where("x.v IS NOT NULL").groupBy("x.c")
-                .agg(F.array_sort(F.collect_set("x.v")).alias("vals")).collect())
-        return OrdinalCodes({r["c"]: list(r["vals"]) for r in rows})
+        # distinct values meet one shuffle; only the category lists reach the driver
+        rows = src.select(F.explode(arr).alias("x")).where("x.v IS NOT NULL").select("x.c", "x.v").distinct().collect()
+        labels = {c: [] for c in columns if any(r["c"] == c for r in rows)}
+        for r in rows:
+            labels[r["c"]].append(r["v"])
+        return OrdinalCodes({c: sorted(v) for c, v in labels.items()})
 
     def encode(self, df: DataFrame, castable: bool = False) -> DataFrame:
         """Category -> 0..n-1 (unseen -> NULL); castable=True casts digit codes directly."""
@@ -108,34 +110,42 @@ def shift_counts(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: F.col(c) + 1 for c in columns if r[c] == 0})
 
 
-# ---- E1, E10, E17, E24: ML pipelines -------------------------------------------------------
-
-def onehot_scale_pipeline(numeric, categorical, drop_first: bool = False, out: str = "features") -> Pipeline:
-    """One-hot (unknown categories ignored) + standard scaling of numerics.
-
-    Spark's StandardScaler divides by the sample std; the population std the
-    reference uses is sqrt((n-1)/n) times it -- apply ``population_rescale`` when
-    exact parity matters.  E10 drops the first level with ``dropLast`` on a
-    reversed label order."""
-    stages = []
-    cat_out = []
-    for c in categorical:
-        order = "alphabetDesc" if drop_first else "alphabetAsc"
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType=order))
-        cat_out.append(f"{c}__oh")
-    if categorical:
-        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=cat_out,
-                                    dropLast=True, handleInvalid="keep"))
-    if numeric:
-        stages.append(VectorAssembler(inputCols=list(numeric), outputCol="__num", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True))
-    stages.append(VectorAssembler(inputCols=(["__num_s"] if numeric else []) + cat_out, outputCol=out))
-    return Pipeline(stages=stages)
-
-
-def population_rescale(n: int) -> float:
-    return ((n - 1) / n) ** 0.5 if n > 1 else 1.0
+# ---- E1, E10: feature vectors --------------------------------------------------------------
+
+@dataclass
+class OneHotScaler:
+    """Numerics as z-scores of the train part (population std, 0 -> 1), categoricals as one
+    coordinate per train label: an unknown or null category is all zeros, a null number the
+    mean.  ``drop_first`` leaves out each column's first label (E10)."""
+    scaler: ColumnScaler
+    codes: OrdinalCodes
+    drop_first: bool = False
+
+    @property
+    def names(self) -> list[str]:
+        """The coordinates in order."""
+        return [*self.scaler.params, *[f"{c}={v}" for c, v in self._levels()]]
+
+    def _levels(self):
+        return [(c, v) for c, labels in self.codes.labels.items() for v in labels[self.drop_first:]]
+
+    def columns(self) -> list:
+        z = [F.coalesce((F.col(c).cast("double") - F.lit(a)) / F.lit(s), F.lit(0.0)) for c, (a, s) in self.scaler.params.items()]
+        return z + [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)) for c, v in self._levels()]
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        return df.withColumn(out, array_to_vector(F.array(*self.columns())))
+
+
+@dataclass
+class OneHotScale:
+    numeric: tuple
+    categorical: tuple
+    drop_first: bool = False
+
+    def fit(self, train: DataFrame) -> OneHotScaler:
+        scaler = ColumnScaler.fit(train, list(self.numeric), "zscore") if self.numeric else ColumnScaler({})
+        return OneHotScaler(scaler, OrdinalCodes.fit(train, list(self.categorical)), self.drop_first)
 
 
 # ---- E9, E11, E18, E21: one-hot tables, masks, thermometer ---------------------------------

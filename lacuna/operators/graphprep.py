@@ -1,23 +1,38 @@
 """Graph preparation (G1-G7) and dense re-indexing.
 
-Edges are DataFrames (src, dst, kind); no graph library is needed.  Dense ids
-come from a distributed sort + ``zipWithIndex`` (partition offsets are counted,
-no single task ranks all keys).
+Edges are DataFrames (src, dst, kind); no graph library is needed.  Dense ids come from a
+range-partitioned sort: each partition numbers its own keys and starts at the count of the
+keys before it, so no single task ranks all keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..session import write_barrier
+
+_ROW_BITS = 33  # of monotonically_increasing_id: the row number inside the partition
+
 
 def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
-    """Distinct values of ``col`` -> 0..n-1 in sorted order."""
-    d = df.select(col).distinct().orderBy(col)
-    schema = StructType(d.schema.fields + [StructField(out, LongType(), False)])
-    return d.sparkSession.createDataFrame(d.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), schema)
+    """Distinct non-null values of ``col`` -> 0..n-1 in sorted order."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(col).where(F.col(col).isNotNull()).distinct()
+    ranged = d.repartitionByRange(n, col).sortWithinPartitions(col).withColumn("__m", F.monotonically_increasing_id())
+    # written once: the counts and the numbers must come from the same partitioning
+    kept, _ = write_barrier(ranged, "index")
+    part = F.shiftrightunsigned("__m", _ROW_BITS)
+    sizes = {r["p"]: r["count"] for r in kept.groupBy(part.alias("p")).count().collect()}  # one row per partition
+    if not sizes:
+        return kept.select(col, F.col("__m").alias(out))
+    before, start = 0, {}
+    for p in sorted(sizes):
+        start[p], before = before, before + sizes[p]
+    offset = F.create_map(*[x for p, k in start.items() for x in (F.lit(p).cast("bigint"), F.lit(k).cast("bigint"))])
+    return kept.select(col, (offset[part] + F.col("__m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias(out))
 
 
 def reindex(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:

@@ -14,26 +14,29 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 10_000
-
+from ..graphprep import dense_index
 
 def als_impute(cells: DataFrame, row="row_id", item="col_id", value="value", rank: int = 8, reg: float = 0.1,
                max_iter: int = 10, seed: int = 42, candidates: DataFrame | None = None) -> DataFrame:
-    """Fit ALS on observed cells; predict ``candidates`` (default: every row x item
-    pair not observed, built from the distinct rows and the item catalog)."""
-    als = ALS(userCol=row, itemCol=item, ratingCol=value, rank=rank, regParam=reg, maxIter=max_iter, seed=seed,
-              coldStartStrategy="drop", nonnegative=False)
-    model = als.fit(cells)
+    """Fit ALS on observed cells; predict ``candidates`` (default: every row x item pair not
+    observed: the completed matrix).  A cell of a row or item that the fit never saw gets
+    the train mean and is marked ``cold``; no cell is dropped.  Ids may be of any type: ALS
+    sees dense integers."""
+    cold_value = cells.agg(F.avg(value)).first()[0]
+    rows, items = dense_index(cells, row, "__row"), dense_index(cells, item, "__item")
+    als = ALS(userCol="__row", itemCol="__item", ratingCol=value, rank=rank, regParam=reg, maxIter=max_iter, seed=seed,
+              coldStartStrategy="nan", nonnegative=False)
+    model = als.fit(cells.join(rows, row).join(items, item).select(
+        F.col("__row").cast("int"), F.col("__item").cast("int"), F.col(value).cast("double").alias(value)))
     if candidates is None:
-        # the completed matrix is rows x items by definition; items form a catalog,
-        # checked to be small, and are attached to each row by an explode
-        items = [r[0] for r in cells.select(item).distinct().limit(MAX_ITEMS + 1).collect()]
-        if len(items) > MAX_ITEMS:
-            raise ValueError("item catalog too large to complete every row; pass candidates")
-        rows = cells.select(row).distinct()
-        candidates = (rows.withColumn(item, F.explode(F.array(*[F.lit(i) for i in sorted(items)])))
-                      .join(cells.select(row, item), [row, item], "left_anti"))
-    return model.transform(candidates).withColumnRenamed("prediction", value)
+        # rows x items by definition of the completed matrix
+        candidates = rows.select(row).crossJoin(items.select(item)).join(cells.select(row, item), [row, item], "left_anti")
+    known = (candidates.join(rows, row, "left").join(items, item, "left")
+             .withColumns({"__row": F.coalesce(F.col("__row"), F.lit(-1)).cast("int"), "__item": F.coalesce(F.col("__item"), F.lit(-1)).cast("int")}))
+    out = model.transform(known).drop("__row", "__item")
+    cold = F.isnan("prediction")
+    return (out.withColumn("cold", cold)
+            .withColumn(value, F.when(cold, F.lit(cold_value)).otherwise(F.col("prediction").cast("double"))).drop("prediction"))
 
 
 def cosine_similarity(cells: DataFrame, row="row_id", col="col_id", value="value") -> DataFrame:

@@ -1,23 +1,39 @@
 """Neighbour operators (I15, I26, L15, L21-L24, L30): exact k-nearest neighbours.
 
-Plan: the query side (rows to impute / validation rows) is broadcast after a
-size check; the donor side stays distributed.  Each donor partition keeps a
-running top-k per query in numpy (``mapInPandas``), so a task holds at most
-queries x k candidates; one small shuffle of (query, donor, distance) rows and
-a window rank finish the exact answer.  Ordering ties break on the donor id.
-Beyond the broadcast bound there is no exact plan that avoids all pairs;
-``knn_topk`` refuses rather than silently approximating.
+Plan: queries and donors are dealt into blocks by the hash of their ids, and every block
+of queries meets every block of donors in a task of its own (``cogroup`` on both block
+numbers), which returns the k best donors per query of the block.  Memory is one pair of
+blocks; a side is copied once per block of the other side; nothing is collected, broadcast
+or refused, whatever the sizes.  A window over the k candidates per block finishes the
+exact answer.  Ordering ties break on the donor id.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_QUERY_BYTES = 512 * 1024 * 1024  # broadcast bound for the query matrix
+DONOR_BLOCK = 16_384  # rows of a donor block
+QUERY_BLOCK = 8_192  # rows of a query block
+AT_ONCE = 512  # queries whose distances to a block are held at once
+
+
+def _meet(queries: DataFrame, donors: DataFrame, qid: str, did: str):
+    """Both sides grouped by (query block, donor block), for ``cogroup``."""
+    nq = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    nd = max(1, math.ceil(donors.count() / DONOR_BLOCK))
+
+    def block(key, n):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    q = queries.withColumns({"__qb": block(qid, nq), "__db": F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))})
+    d = donors.withColumns({"__qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1))), "__db": block(did, nd)})
+    return q.groupBy("__qb", "__db").cogroup(d.groupBy("__qb", "__db"))
 
 
 def _encode_rows(pdf: pd.DataFrame, num_cols, cat_cols):
@@ -63,6 +79,20 @@ def _euclid(qm, dm, budget: float = 2e7):
     return out
 
 
+def _best(d: np.ndarray, ids: np.ndarray, k: int):
+    """The k smallest distances per row with their ids, ordered by (distance, id)."""
+    k = min(k, d.shape[1])
+    part = np.argpartition(d, k - 1, axis=1)[:, :k]
+    bd, bi = np.take_along_axis(d, part, axis=1), ids[part]
+    edge = bd.max(axis=1)
+    for q in np.nonzero((d <= edge[:, None]).sum(axis=1) > k)[0]:  # ties at the k-th distance: the id decides
+        some = np.nonzero(d[q] <= edge[q])[0]
+        o = some[np.lexsort((ids[some], d[q][some]))[:k]]
+        bd[q], bi[q] = d[q][o], ids[o]
+    o = np.lexsort((bi, bd), axis=-1)
+    return np.take_along_axis(bd, o, axis=1), np.take_along_axis(bi, o, axis=1)
+
+
 def knn_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str, num_cols, cat_cols=(),
              cat_width=None, metric: str = "nan_euclidean") -> DataFrame:
     """(qid, did, dist, rank) for the k nearest donors of each query.
@@ -70,94 +100,31 @@ def knn_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str,
     ``num_cols``: numeric coordinates (already scaled); ``cat_cols``: integer codes
     of categorical columns whose one-hot width is ``cat_width``.  For metric
     'euclidean' ``num_cols`` may name one array column (vectors)."""
-    spark = queries.sparkSession
-    cat_cols = list(cat_cols)
+    num_cols, cat_cols = list(num_cols), list(cat_cols)
     cat_width = list(cat_width or [1] * len(cat_cols))
-    n_q = queries.count()
-    width = (len(num_cols) + len(cat_cols)) if metric != "euclidean" else None
-    if metric == "euclidean":
-        vec = num_cols[0]
-        first = queries.select(F.size(vec)).first()
-        width = first[0] if first else 0
-    if n_q * max(width, 1) * 8 > MAX_QUERY_BYTES:
-        raise ValueError(f"{n_q} queries x {width} coordinates exceed the broadcast bound; "
-                         "split the queries into batches")
-    # bounded (checked above): the query matrix travels as a broadcast variable
-    rows = queries.select(qid, *num_cols, *cat_cols).collect()
-    ids = np.array([r[0] for r in rows])
-    if metric == "euclidean":
-        qm = np.array([np.asarray(r[1], dtype=float) for r in rows]) if rows else np.zeros((0, width))
-        payload = (ids, qm)
-    else:
-        qn = np.array([[np.nan if r[c] is None else float(r[c]) for c in num_cols] for r in rows]).reshape(len(rows), len(num_cols))
-        qc = np.array([[np.nan if r[c] is None else float(r[c]) for c in cat_cols] for r in rows]).reshape(len(rows), len(cat_cols))
-        payload = (ids, qn, qc)
-    bc = spark.sparkContext.broadcast(payload)
     total_dims = float(len(num_cols) + sum(cat_width))
-    num_cols_l = list(num_cols)
-
-    def merge(best_d, best_i, d, dids):
-        """Running exact top-k by (distance, donor id) per query row.  Once a row
-        holds k candidates, only rows with a new distance <= their k-th enter the
-        merge (ties included: the donor id decides)."""
-        if best_d is not None and best_d.shape[1] >= k:
-            rows = np.nonzero((d <= best_d[:, -1][:, None]).any(axis=1))[0]
-            if len(rows) == 0:
-                return best_d, best_i
-            if len(rows) < d.shape[0]:
-                sd, si = merge(best_d[rows], best_i[rows], d[rows], dids)
-                best_d, best_i = best_d.copy(), best_i.copy()
-                best_d[rows], best_i[rows] = sd, si
-                return best_d, best_i
-        cand_d = d if best_d is None else np.concatenate([best_d, d], axis=1)
-        cand_i = np.broadcast_to(dids, d.shape) if best_i is None else \
-            np.concatenate([best_i, np.broadcast_to(dids, d.shape)], axis=1)
-        kk = min(k, cand_d.shape[1])
-        part = np.argpartition(cand_d, kk - 1, axis=1)[:, :kk]
-        pd_ = np.take_along_axis(cand_d, part, axis=1)
-        pi_ = np.take_along_axis(cand_i, part, axis=1)
-        thr = pd_.max(axis=1)
-        spill = (cand_d <= thr[:, None]).sum(axis=1) > kk  # ties at the k-th distance
-        for q in np.nonzero(spill)[0]:  # rare: resolve exactly on the full row
-            o = np.lexsort((cand_i[q], cand_d[q]))[:kk]
-            pd_[q], pi_[q] = cand_d[q][o], cand_i[q][o]
-        o = np.lexsort((pi_, pd_), axis=-1)
-        return np.take_along_axis(pd_, o, axis=1), np.take_along_axis(pi_, o, axis=1)
-
-    QCHUNK = 1024
-
-    def partial(batches):
-        data = bc.value
-        ids_ = data[0]
-        nq = len(ids_)
-        best_d = [None] * ((nq + QCHUNK - 1) // QCHUNK)
-        best_i = [None] * len(best_d)
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
-                continue
-            dids = pdf[did].to_numpy()
-            if metric == "euclidean":
-                dm = np.stack(pdf[num_cols_l[0]].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
-            else:
-                dn, dc = _encode_rows(pdf, num_cols_l, cat_cols)
-            for ci, lo in enumerate(range(0, nq, QCHUNK)):
-                hi = min(nq, lo + QCHUNK)
-                if metric == "euclidean":
-                    qm = data[1][lo:hi]
-                    d = _euclid(qm, dm)
-                else:
-                    d = _pair_dist(data[1][lo:hi], data[2][lo:hi], dn, dc, total_dims, cat_width)
-                best_d[ci], best_i[ci] = merge(best_d[ci], best_i[ci], d, dids)
-        if best_d and best_d[0] is not None:
-            bd = np.concatenate(best_d, axis=0)
-            bi = np.concatenate(best_i, axis=0)
-            kk = bd.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(ids_, kk), "did": bi.reshape(-1), "dist": bd.reshape(-1)})
-
-    qtype = dict(queries.dtypes)[qid]
-    dtype = dict(donors.dtypes)[did]
-    schema = f"qid {qtype}, did {dtype}, dist double"
-    part = donors.select(did, *num_cols, *cat_cols).mapInPandas(partial, schema)
+
+    def vectors(pdf):
+        return np.stack(pdf[num_cols[0]].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
+
+    def nearest(q, d):
+        out = []
+        if len(q) and len(d):
+            ids, dids = q[qid].to_numpy(), d[did].to_numpy()
+            qs = (vectors(q),) if metric == "euclidean" else _encode_rows(q, num_cols, cat_cols)
+            ds = (vectors(d),) if metric == "euclidean" else _encode_rows(d, num_cols, cat_cols)
+            for lo in range(0, len(q), AT_ONCE):
+                cut = [x[lo:lo + AT_ONCE] for x in qs]
+                dist = _euclid(*cut, *ds) if metric == "euclidean" else _pair_dist(*cut, *ds, total_dims, cat_width)
+                bd, bi = _best(dist, dids, k)
+                out.append(pd.DataFrame({"qid": np.repeat(ids[lo:lo + AT_ONCE], bd.shape[1]), "did": bi.reshape(-1),
+                                         "dist": bd.reshape(-1)}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "did": [], "dist": []}).astype(
+            {"qid": q[qid].dtype, "did": d[did].dtype, "dist": "float64"})
+
+    schema = f"qid {dict(queries.dtypes)[qid]}, did {dict(donors.dtypes)[did]}, dist double"
+    part = _meet(queries.select(qid, *num_cols, *cat_cols), donors.select(did, *num_cols, *cat_cols), qid, did
+                 ).applyInPandas(nearest, schema)
     w = Window.partitionBy("qid").orderBy("dist", "did")
     return (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnRenamed("qid", qid if qid != did else "qid").withColumnRenamed("did", did if qid != did else "did"))
@@ -265,43 +232,44 @@ def certain_predictions(repairs: DataFrame, val: DataFrame, k: int, id_col: str,
     train id), majority vote (lowest label on ties).  A validation row is certain
     when exactly one class wins its own best case.
 
-    repairs: (id, repair, vec, label) -- a complete row has one repair."""
-    spark = repairs.sparkSession
+    repairs: (id, repair, vec, label) -- a complete row has one repair.  All repairs of a
+    row lie in one block, so the task that compares them also takes their extremes, and only
+    k candidates per (validation row, class, block) leave it."""
+    classes = sorted(r[0] for r in repairs.select(label).distinct().collect())  # one row per class
+
+    def block(q, r):
+        cols = ["qid", "c", "rid", "rlabel", "s"]
+        if not len(q) or not len(r):
+            return pd.DataFrame({c: [] for c in cols}).astype({"s": "float64"})
+        r = r.sort_values(id_col, kind="stable")
+        rid, start = np.unique(r[id_col].to_numpy(), return_index=True)
+        rl = r[label].to_numpy()[start]
+        dm = np.stack(r[vec_col].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
+        qm = np.stack(q[vec_col].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
+        ids, out = q["qid"].to_numpy(), []
+        for lo in range(0, len(q), AT_ONCE):
+            sim = 1.0 / (1.0 + _euclid(qm[lo:lo + AT_ONCE], dm))
+            low, high = np.minimum.reduceat(sim, start, axis=1), np.maximum.reduceat(sim, start, axis=1)
+            for c in classes:
+                bd, bi = _best(-np.where(rl == c, high, low), np.arange(len(rid)), k)
+                out.append(pd.DataFrame({"qid": np.repeat(ids[lo:lo + AT_ONCE], bd.shape[1]), "c": c,
+                                         "rid": rid[bi.reshape(-1)], "rlabel": rl[bi.reshape(-1)], "s": -bd.reshape(-1)}))
+        return pd.concat(out)[cols]
+
+    itype, ltype = dict(repairs.dtypes)[id_col], dict(repairs.dtypes)[label]
     qv = val.select(F.col(id_col).alias("qid"), vec_col)
-    n_q = qv.count()
-    width = qv.select(F.size(vec_col)).first()[0] if n_q else 0
-    if n_q * max(width, 1) * 8 > MAX_QUERY_BYTES:
-        raise ValueError("validation side exceeds the broadcast bound")
-    rows = qv.collect()
-    qids = np.array([r[0] for r in rows])
-    qm = np.array([np.asarray(r[1], dtype=float) for r in rows]).reshape(len(rows), width)
-    bc = spark.sparkContext.broadcast((qids, qm))
-
-    def sims(batches):
-        ids_, q = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            dm = np.stack(pdf[vec_col].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
-            d = _euclid(q, dm)
-            s = 1.0 / (1.0 + d)
-            yield pd.DataFrame({"qid": np.repeat(ids_, len(pdf)),
-                                "rid": np.tile(pdf[id_col].to_numpy(), len(ids_)),
-                                "sim": s.reshape(-1)})
-
-    itype = dict(repairs.dtypes)[id_col]
-    sim = repairs.select(id_col, vec_col).mapInPandas(sims, f"qid {dict(val.dtypes)[id_col]}, rid {itype}, sim double")
-    mm = sim.groupBy("qid", "rid").agg(F.min("sim").alias("smin"), F.max("sim").alias("smax"))
-    lab = repairs.select(F.col(id_col).alias("rid"), F.col(label).alias("rlabel")).distinct()
-    mm = mm.join(lab, "rid")
-    classes = sorted(r[0] for r in lab.select("rlabel").distinct().collect())
-    per_class = mm.withColumn("c", F.explode(F.array(*[F.lit(c) for c in classes])))
-    per_class = per_class.withColumn("s", F.when(F.col("rlabel") == F.col("c"), F.col("smax")).otherwise(F.col("smin")))
-    w = Window.partitionBy("qid", "c").orderBy(F.desc("s"), "rid")
-    top = per_class.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    near = _meet(qv, repairs.select(id_col, vec_col, label), "qid", id_col).applyInPandas(
+        block, f"qid {dict(val.dtypes)[id_col]}, c {ltype}, rid {itype}, rlabel {ltype}, s double")
+    w = Window.partitionBy("qid", "c").orderBy(F.desc("s"), "rid")  # k candidates per block
+    top = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     votes = top.groupBy("qid", "c", "rlabel").count()
     win = votes.groupBy("qid", "c").agg(F.min_by("rlabel", F.struct((-F.col("count")).alias("n"), F.col("rlabel"))).alias("pred"))
     res = win.groupBy("qid").agg(F.count_if(F.col("pred") == F.col("c")).alias("n_survive"),
                                  F.min(F.when(F.col("pred") == F.col("c"), F.col("c"))).alias("certain_label"))
     return res.select(F.col("qid").alias(id_col), (F.col("n_survive") == 1).alias("is_certain"),
                       F.when(F.col("n_survive") == 1, F.col("certain_label")).alias("certain_label"))
+
+
+def certain_share(certain: DataFrame) -> DataFrame:
+    """Share of validation rows whose prediction no repair can change."""
+    return certain.agg(F.avg(F.col("is_certain").cast("double")).alias("certain_share"), F.count(F.lit(1)).alias("n"))

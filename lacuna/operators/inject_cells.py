@@ -11,9 +11,6 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_key, hash_unit, sql_hash_key, sql_hash_unit
 
-BROADCAST_MAX_ROWS = 1_000_000  # item catalogs at most this large are broadcast
-
-
 def _cell_u(seed, c: str, row_id: str):
     return hash_unit(hash_key(seed, f"cell:{c}", row_id))
 
@@ -83,19 +80,24 @@ def sql_random_cells(src: str, rates: dict, seed: int, row_id: str = "row_id", g
     return f"SELECT * EXCLUDE ({drop}) REPLACE ({', '.join(repl)}) FROM (SELECT *, {inner} FROM ({src}))"
 
 
-def bootstrap(df: DataFrame, seed: int, row_id: str = "row_id", replica: int = 0, kmax: int = 12) -> DataFrame:
+def poisson_bars() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, 2, ... up to where a draw with 32
+    bits cannot lie beyond it: no copy count is cut."""
+    import math
+    out, acc, term, k = [], 0.0, math.exp(-1.0), 0
+    while acc < 1 - 2.0 ** -33:
+        acc += term
+        out.append(acc)
+        k += 1
+        term /= k
+    return out
+
+
+def bootstrap(df: DataFrame, seed: int, row_id: str = "row_id", replica: int = 0) -> DataFrame:
     """Bootstrap with replacement as hash-Poisson(1) copy counts per row
     (the distributed form of drawing n rows with replacement); copies exploded."""
-    import math
     u = hash_unit(hash_key(seed, f"boot:{replica}", row_id))
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax):
-        acc += term
-        cdf.append(acc)
-        term /= (k + 1)
-    count = F.lit(kmax)
-    for k in reversed(range(kmax)):
-        count = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(count)
+    count = sum(((u >= F.lit(bar)).cast("int") for bar in poisson_bars()), F.lit(0))
     return (df.withColumn("__copies", count).where("__copies > 0")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies"))
 
@@ -105,21 +107,28 @@ def negative_samples(obs: DataFrame, levels: DataFrame, seed: int, row="row_id",
     """For each row, add (positives - negatives) zeros among unobserved
     items whose level exceeds the row's highest observed level (as many as exist).
 
+    The items of a level are put in one hashed order, the same for every row; a row starts at a
+    hashed place of each level above its own and takes items from there on, as many as it
+    wants plus as many as it has observed on that level, so that enough unobserved ones are among
+    them.  Candidates per row and level are bounded by the row's own size, not the
+    catalog's.
+
     obs: (row, item, value) observed cells; levels: (item, level) catalog.
     Returns the new (row, item, value=0) cells."""
     lv = levels.select(F.col(item), F.col(level))
-    per_row = (obs.join(F.broadcast(lv) if levels.count() <= BROADCAST_MAX_ROWS else lv, item)
-               .groupBy(row).agg(F.max(level).alias("max_level"),
-                                 F.count_if(F.col(value) > 0).alias("n_pos"),
-                                 F.count_if(F.col(value) == 0).alias("n_neg"))
+    per_row = (obs.join(lv, item).groupBy(row).agg(F.max(level).alias("max_level"), F.count(F.lit(1)).alias("n_obs"),
+                                                   F.count_if(F.col(value) > 0).alias("n_pos"), F.count_if(F.col(value) == 0).alias("n_neg"))
                .where(F.col("n_pos") > F.col("n_neg")))
-    # theta join level > max_level as an equi-join: rows x (distinct levels above their max)
-    dl = lv.select(level).distinct()
-    if dl.count() <= BROADCAST_MAX_ROWS:  # distinct levels: a short list in practice, checked
-        dl = F.broadcast(dl)
-    above = per_row.join(dl, F.col(level) > F.col("max_level"))
-    cand = above.join(lv, level).join(obs.select(row, item), [row, item], "left_anti")
-    w = Window.partitionBy(row).orderBy("__u", item)
+    order = F.row_number().over(Window.partitionBy(level).orderBy(hash_key(seed, "item", F.col(item)), item)) - 1
+    placed = lv.withColumn("place", order)
+    size = placed.groupBy(level).agg(F.count(F.lit(1)).alias("size"))
+    above = per_row.join(size, F.col(level) > F.col("max_level"))  # one row per level of the catalog
+    want = F.least(F.col("size"), F.col("n_pos") - F.col("n_neg") + F.col("n_obs"))
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col(row), F.col(level)), F.col("size"))
+    cand = (above.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("bigint"), want - 1)))
+            .withColumn("place", F.pmod(start + F.col("__o"), F.col("size")).cast("int"))
+            .join(placed, [level, "place"]).join(obs.select(row, item), [row, item], "left_anti"))
+    w = Window.partitionBy(row).orderBy("__u", item)  # a row's own candidates
     return (cand.withColumn("__u", hash_unit(hash_key(seed, "neg", F.concat_ws(":", F.col(row).cast("string"),
                                                                               F.col(item).cast("string")))))
             .withColumn("__r", F.row_number().over(w))

@@ -1,78 +1,97 @@
-"""Models on repaired tables (L1-L16): Spark ML classifiers with a tuning grid,
-macro-F1 cross validation, per-subgroup fairness metrics, bootstrap stability,
+"""Models on repaired tables (L1-L16): Spark ML classifiers with a tuning grid, held-out
+macro-F1 over hash-assigned folds, per-subgroup fairness metrics, bootstrap stability,
 feature importances, and boosting over repairs (L17-L19).
 
-Training data enter as one long DataFrame; models see a fixed partitioning
-(``repartition(k, row_id).sortWithinPartitions(row_id)``) so seeded learners
-give the same trees whatever the input partitioning.
+Training rows are dealt into partitions by the hash of their id, as many as their number
+asks for, and sorted inside, so seeded learners give the same models whatever the input
+partitioning.
 """
 
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import onehot_scale_pipeline
+from .encode import OneHotScale
+from .split import kfold
 
-FIT_PARTITIONS = 8
+ROWS_PER_PARTITION = 100_000
+LEAST_PARTITIONS = 8
 
 
-def stable_input(df: DataFrame, row_id: str = "row_id", k: int = FIT_PARTITIONS) -> DataFrame:
-    return df.repartition(k, row_id).sortWithinPartitions(row_id)
+def stable_input(df: DataFrame, row_id: str = "row_id", rows: int | None = None) -> DataFrame:
+    """Partitions that depend on the rows alone: their number and the hash of their ids."""
+    n = df.count() if rows is None else rows
+    return df.repartition(max(LEAST_PARTITIONS, math.ceil(n / ROWS_PER_PARTITION)), row_id).sortWithinPartitions(row_id)
 
 
 # ---- L1 registry --------------------------------------------------------------------
 
-def model_registry(seed: int = 42, n_features: int | None = None) -> dict:
-    """name -> (estimator, param grid).  GBT in Spark is binary-only, like the task."""
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100)
-    dt = DecisionTreeClassifier(featuresCol="features", labelCol="label", seed=seed)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=seed)
-    reg = {
-        "lr_clf": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()),
-        "dt_clf": (dt, ParamGridBuilder().addGrid(dt.maxDepth, [5, 10]).addGrid(dt.minInstancesPerNode, [1, 5]).build()),
-        "rf_clf": (rf, ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [5, 10]).build()),
-        "lgbm_clf": (gbt, ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.stepSize, [0.1]).build()),
-    }
-    if n_features:
-        mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", seed=seed,
-                                             layers=[n_features, 16, 2], maxIter=100)
-        reg["mlp_clf"] = (mlp, ParamGridBuilder().addGrid(mlp.stepSize, [0.03]).build())
-    return reg
+MODELS = ("dt_clf", "lr_clf", "gbt_clf", "rf_clf", "mlp_clf")
+
+
+def model_registry(seed: int = 42, n_features: int = 1, n_rows: int = 1, grid: str = "full") -> dict:
+    """name -> (estimator, param maps).  ``grid``: "full", the whole grid as far as Spark
+    has its parameters (tree depth ends at 30; an inverse regularisation strength C is
+    regParam = 1 / (C rows)), or "small" for a bounded run.  GBT in Spark is binary-only."""
+    cols = dict(featuresCol="features", labelCol="label")
+    dt = DecisionTreeClassifier(seed=seed, **cols)
+    lr = LogisticRegression(maxIter=1000 if grid == "full" else 100, **cols)
+    gbt = GBTClassifier(seed=seed, **cols)
+    rf = RandomForestClassifier(seed=seed, **cols)
+    mlp = MultilayerPerceptronClassifier(seed=seed, maxIter=1000 if grid == "full" else 100,
+                                         layers=[n_features, *([100, 100] if grid == "full" else [16]), 2], **cols)
+    # The tuning grids.
+    strengths = [0.001, 0.01, 0.1, 1]
+    if grid == "full":
+        axes = {
+            "dt_clf": (dt, {dt.maxDepth: [5, 10, 20, 30], dt.minInstancesPerNode: [5, 10, 20, 50, 100], dt.impurity: ["gini", "entropy"]}),
+            "lr_clf": (lr, {lr.elasticNetParam: [1.0, 0.0], lr.regParam: [1 / (c * n_rows) for c in strengths]}),
+            "gbt_clf": (gbt, {gbt.maxIter: [50, 100, 200, 500], gbt.maxDepth: list(range(3, 10)),
+                              gbt.minInstancesPerNode: [100 + 900 * i // 7 for i in range(8)]}),
+            "rf_clf": (rf, {rf.numTrees: [50, 100, 200, 500, 700, 1000], rf.maxDepth: [10, 20, 30],
+                            rf.minInstancesPerNode: [1, 2, 4], rf.bootstrap: [True, False]}),
+            "mlp_clf": (mlp, {mlp.solver: ["l-bfgs", "gd"]}),
+        }
+    else:
+        axes = {
+            "dt_clf": (dt, {dt.maxDepth: [5, 10]}),
+            "lr_clf": (lr, {lr.regParam: [1 / (c * n_rows) for c in (0.01, 1)]}),
+            "gbt_clf": (gbt, {gbt.maxIter: [10], gbt.maxDepth: [3]}),
+            "rf_clf": (rf, {rf.numTrees: [20], rf.maxDepth: [5, 10]}),
+            "mlp_clf": (mlp, {mlp.solver: ["l-bfgs"]}),
+        }
+    out = {}
+    for name, (est, values) in axes.items():
+        builder = ParamGridBuilder()
+        for param, options in values.items():
+            builder = builder.addGrid(param, options)
+        out[name] = (est, builder.build())
+    return out
 
 
 # ---- L2 macro-F1 evaluator ------------------------------------------------------------
 
-class MacroF1Evaluator(Evaluator):
-    """Mean of per-class F1 (Spark's 'f1' is support-weighted)."""
-
-    def __init__(self, labelCol="label", predictionCol="prediction"):
-        super().__init__()
-        self.labelCol, self.predictionCol = labelCol, predictionCol
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        y, p = F.col(self.labelCol).cast("double"), F.col(self.predictionCol).cast("double")
-        rows = dataset.select(y.alias("y"), p.alias("p")).groupBy("y", "p").count().collect()
-        classes = sorted({r["y"] for r in rows} | {r["p"] for r in rows})
-        f1s = []
-        for c in classes:
-            tp = sum(r["count"] for r in rows if r["y"] == c and r["p"] == c)
-            fp = sum(r["count"] for r in rows if r["y"] != c and r["p"] == c)
-            fn = sum(r["count"] for r in rows if r["y"] == c and r["p"] != c)
-            f1s.append(0.0 if tp == 0 else 2 * tp / (2 * tp + fp + fn))
-        return sum(f1s) / len(f1s) if f1s else 0.0
-
-    def isLargerBetter(self):
-        return True
+def macro_f1_and_accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> tuple[float, float]:
+    """Mean of the per-class F1 scores (Spark's own is weighted by support) and the
+    accuracy, from one count of (label, prediction)."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    n = {(r["y"], r["p"]): r["count"] for r in pred.select(y.alias("y"), p.alias("p")).groupBy("y", "p").count().collect()}
+    classes = {c for pair in n for c in pair}
+    f1 = []
+    for c in classes:
+        hit = n.get((c, c), 0)
+        wrong = sum(k for (a, b), k in n.items() if (a == c) != (b == c))
+        f1.append(2 * hit / (2 * hit + wrong))
+    total = sum(n.values())
+    return (sum(f1) / len(f1), sum(k for (a, b), k in n.items() if a == b) / total) if total else (0.0, 0.0)
 
 
 def classification_report(pred: DataFrame, by=(), label="label", prediction="prediction") -> DataFrame:
@@ -88,32 +107,49 @@ def classification_report(pred: DataFrame, by=(), label="label", prediction="pre
 
 # ---- L2-L5 tuning ---------------------------------------------------------------------
 
-def tune(train: DataFrame, numeric, categorical, names=("lr_clf", "dt_clf"), folds: int = 3, seed: int = 42,
-         parallelism: int = 4):
-    """L2/L3: grid search with k folds (hash-assigned), macro-F1 refit; rows of
-    (model, f1, accuracy, minutes, params) and the fitted best models."""
+def tune(train: DataFrame, numeric, categorical, names=MODELS, folds: int = 3, seed: int = 42, grid: str = "full",
+         parallelism: int = 4, row_id: str = "row_id"):
+    """L2/L3: every parameter set of every model is fitted on all folds but one and scored
+    on that one, features included (fitted inside the fold); the set with the best mean
+    held-out macro-F1 (the first on ties) is fitted again on all rows.  Rows of (model,
+    held-out f1, held-out accuracy, minutes, params), the fitted models and features."""
     import time
-    feats = onehot_scale_pipeline(numeric, categorical).fit(train)
-    data = stable_input(feats.transform(train).select("row_id", "features", "label"))
-    from .split import kfold
-    data = kfold(data, seed, folds).cache()
-    n_feat = len(data.first()["features"])
-    reg = model_registry(seed, n_feat)
-    rows, fitted = [], {}
+    folded = kfold(train, seed, folds, row_id)
+    keep = [row_id, "features", "label"]
+    marks, minutes = {}, dict.fromkeys(names, 0.0)
+    for fold in range(folds):
+        known, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        feats = OneHotScale(numeric, categorical).fit(known)
+        n = known.count()
+        a = stable_input(feats.transform(known).select(*keep), row_id, n).cache()
+        b = feats.transform(held).select(*keep).cache()
+        registry = model_registry(seed, len(feats.names), n, grid)
+
+        def run(job):
+            name, i = job
+            t0 = time.time()
+            est, params = registry[name]
+            got = macro_f1_and_accuracy(est.fit(a, params[i]).transform(b))
+            return name, i, got, (time.time() - t0) / 60.0
+
+        with ThreadPool(parallelism) as pool:
+            for name, i, got, took in pool.imap_unordered(run, [(m, i) for m in names for i in range(len(registry[m][1]))]):
+                marks.setdefault((name, i), []).append(got)
+                minutes[name] += took
+        a.unpersist()
+        b.unpersist()
+    feats = OneHotScale(numeric, categorical).fit(train)
+    n = train.count()
+    data = stable_input(feats.transform(train).select(*keep), row_id, n).cache()
+    registry, rows, fitted = model_registry(seed, len(feats.names), n, grid), [], {}
     for name in names:
-        est, grid = reg[name]
+        est, params = registry[name]
+        mean = lambda i, k: sum(m[k] for m in marks[name, i]) / folds
+        best = max(range(len(params)), key=lambda i: (mean(i, 0), -i))
         t0 = time.time()
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MacroF1Evaluator(),
-                            foldCol="fold", parallelism=parallelism, seed=seed)
-        m = cv.fit(data)
-        best = m.bestModel
-        pred = best.transform(data)
-        f1 = MacroF1Evaluator().evaluate(pred)
-        acc = pred.select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-        params = {p.name: str(v) for p, v in best.extractParamMap().items() if p.name in
-                  ("regParam", "maxDepth", "minInstancesPerNode", "numTrees", "stepSize")}
-        rows.append((name, float(f1), float(acc), (time.time() - t0) / 60.0, str(sorted(params.items()))))
-        fitted[name] = best
+        fitted[name] = est.fit(data, params[best])
+        shown = sorted((p.name, str(v)) for p, v in params[best].items())
+        rows.append((name, float(mean(best, 0)), float(mean(best, 1)), minutes[name] + (time.time() - t0) / 60.0, str(shown)))
     data.unpersist()
     tuned = train.sparkSession.createDataFrame(
         rows, "model_name string, f1_score double, accuracy_score double, runtime_in_mins double, model_best_params string")
@@ -144,27 +180,41 @@ def subgroup_metrics(pred: DataFrame, by=("subgroup",), label="label", predictio
     ).select(*by, "Sample_Size", "x.metric", "x.metric_value")
 
 
-# Overall metric -> disparity metric name and composition.
+# Overall metric -> its disparity metrics and how each compares the
+# disadvantaged group with the privileged one.
 DISPARITY_METRICS = {
-    "TPR": ("Equalized_Odds_TPR", "difference"), "FPR": ("Equalized_Odds_FPR", "difference"),
-    "Accuracy": ("Accuracy_Difference", "difference"), "Selection_Rate": ("Statistical_Parity_Difference", "difference"),
-    "F1": ("F1_Difference", "difference"), "TNR": ("TNR_Difference", "difference"),
-    "FNR": ("FNR_Difference", "difference"),
+    "TPR": {"Equalized_Odds_TPR": "difference"},
+    "TNR": {"Equalized_Odds_TNR": "difference"},
+    "FPR": {"Equalized_Odds_FPR": "difference"},
+    "FNR": {"Equalized_Odds_FNR": "difference"},
+    "Accuracy": {"Accuracy_Difference": "difference"},
+    "Selection_Rate": {"Statistical_Parity_Difference": "difference", "Disparate_Impact": "ratio",
+                       "Selection_Rate_Difference": "difference"},
+    "Label_Stability": {"Label_Stability_Ratio": "ratio", "Label_Stability_Difference": "difference"},
+    "Jitter": {"Jitter_Difference": "difference"},
+    "IQR": {"IQR_Difference": "difference"},
+    "Std": {"Std_Difference": "difference", "Std_Ratio": "ratio"},
+    "Overall_Uncertainty": {"Overall_Uncertainty_Difference": "difference", "Overall_Uncertainty_Ratio": "ratio"},
+    "Aleatoric_Uncertainty": {"Aleatoric_Uncertainty_Difference": "difference", "Aleatoric_Uncertainty_Ratio": "ratio"},
+    "Epistemic_Uncertainty": {"Epistemic_Uncertainty_Difference": "difference", "Epistemic_Uncertainty_Ratio": "ratio"},
 }
 
 
 def disparity_metrics(long: DataFrame, attrs, keys=()) -> DataFrame:
-    """Pivot dis/priv per attribute, difference = dis - priv, ratio = dis / priv."""
+    """One row per (keys, attribute, disparity metric): the two groups' values of
+    the overall metric and their difference or ratio; metrics without a disparity metric
+    give no row."""
     groups = [f"{a}_{s}" for a in attrs for s in ("dis", "priv")]
     wide = long.where(F.col("subgroup").isin(groups)).groupBy(*keys, "metric").pivot("subgroup", groups).agg(
         F.first("metric_value"))
-    out = wide.select(*keys, "metric", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("attribute"), F.col(f"{a}_dis").alias("dis"), F.col(f"{a}_priv").alias("priv"))
-        for a in attrs])).alias("x")).select(*keys, "metric", "x.*")
-    name = F.create_map(*[x for k, (n, _) in DISPARITY_METRICS.items() for x in (F.lit(k), F.lit(n))])
-    return out.withColumns({"disparity_metric": name[F.col("metric")],
-                            "difference": F.col("dis") - F.col("priv"),
-                            "ratio": F.try_divide(F.col("dis"), F.col("priv"))})
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"{a}_dis").alias("dis"), F.col(f"{a}_priv").alias("priv"))
+                                for a in attrs]))
+    named = F.create_map(*[x for m, names in DISPARITY_METRICS.items() for x in (F.lit(m), F.array(*[
+        F.struct(F.lit(n).alias("disparity_metric"), F.lit(how).alias("how")) for n, how in names.items()]))])
+    out = wide.select(*keys, "metric", sides.alias("x")).select(*keys, "metric", "x.*")
+    out = out.select("*", F.explode(named[F.col("metric")]).alias("d")).select("*", "d.*").drop("d")
+    value = F.when(F.col("how") == "ratio", F.try_divide(F.col("dis"), F.col("priv"))).otherwise(F.col("dis") - F.col("priv"))
+    return out.withColumn("value", value).drop("how")
 
 
 # ---- L10 stability from bootstrap replicas ------------------------------------------------
@@ -174,16 +224,19 @@ def bootstrap_predictions(train: DataFrame, test: DataFrame, feats_model, estima
     """Train ``replicas`` models on hash-drawn fractions of train; predictions
     (row_id, replica, prediction, p) on test."""
     from ..functions.hashing import hash_key, hash_unit
-    tr = feats_model.transform(train).select("row_id", "features", "label")
-    te = feats_model.transform(test).select("row_id", "features")
-    out = None
+    tr = feats_model.transform(train).select("row_id", "features", "label").cache()
+    n = tr.count()
+    # all replicas score a row in one projection
+    out = feats_model.transform(test).select("row_id", "features")
     for b in range(replicas):
         sample = tr.where(hash_unit(hash_key(seed, f"replica:{b}", "row_id")) < F.lit(fraction))
-        m = estimator.fit(stable_input(sample))
-        pr = m.transform(te).select("row_id", F.lit(b).alias("replica"), F.col("prediction").cast("int").alias("prediction"),
-                                    vector_to_array("probability")[1].alias("p"))
-        out = pr if out is None else out.unionByName(pr)
-    return out
+        m = estimator.fit(stable_input(sample, rows=n))
+        out = (m.setProbabilityCol("__v").setPredictionCol(f"__y{b}").setRawPredictionCol("").transform(out)
+               .withColumn(f"__p{b}", vector_to_array("__v")[1]).drop("__v"))
+    tr.unpersist()
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("replica"), F.col(f"__y{b}").cast("int").alias("prediction"),
+                                        F.col(f"__p{b}").alias("p")) for b in range(replicas)]))
+    return out.select("row_id", each.alias("x")).select("row_id", "x.*")
 
 
 def stability_metrics(preds: DataFrame, groups: DataFrame, replicas: int) -> DataFrame:
@@ -211,6 +264,14 @@ def stability_metrics(preds: DataFrame, groups: DataFrame, replicas: int) -> Dat
 
 # ---- L13 feature importance ------------------------------------------------------------
 
+def long_stability(wide: DataFrame, by=("subgroup",)) -> DataFrame:
+    """L10 metrics in the long form that :func:`disparity_metrics` reads."""
+    names = {"label_stability": "Label_Stability", "jitter": "Jitter", "std": "Std", "iqr": "IQR",
+             "overall_uncertainty": "Overall_Uncertainty", "aleatoric": "Aleatoric_Uncertainty", "epistemic": "Epistemic_Uncertainty"}
+    return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("metric_value"))
+                                                for c, n in names.items()])).alias("x")).select(*by, "x.*")
+
+
 def feature_importance(rf_model, names, threshold: float = 0.0, spark=None) -> DataFrame:
     imp = rf_model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, imp) if v >= threshold]

@@ -127,3 +127,26 @@ def dedupe_names(names) -> list:
 def restore_types(df: DataFrame, schema) -> DataFrame:
     """Cast back to the input schema (categoricals stay strings, NULL kept)."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+
+
+def overwrite_cells(df: DataFrame, updates: DataFrame, columns, key: str = "row_id", mask_prefix: str | None = None) -> DataFrame:
+    """The cells that ``updates`` (key, col, value as string) names take its values; with
+    ``mask_prefix`` the cell's mask column becomes 1 (observed).  Of updates that repeat a
+    cell the largest value counts."""
+    wide = updates.groupBy(key).pivot("col", list(columns)).agg(F.max("value"))
+    named = wide.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__u_{c}") for c in columns])
+    j = df.join(named, F.col(key) == F.col("__key"), "left")
+    new = {c: F.coalesce(F.col(f"__u_{c}").cast(df.schema[c].dataType), F.col(c)) for c in columns}
+    if mask_prefix is not None:
+        new |= {mask_prefix + c: F.when(F.col(f"__u_{c}").isNotNull(), 1).otherwise(F.col(mask_prefix + c)) for c in columns}
+    return j.withColumns(new).drop("__key", *[f"__u_{c}" for c in columns])
+
+
+def mask_check(mask: DataFrame, columns) -> DataFrame:
+    """One row: are all mask cells 0 or 1, and has the mask the declared columns."""
+    known = [c for c in columns if c in mask.columns]
+    ok = F.lit(True)
+    for c in known:
+        ok = ok & F.coalesce(F.col(c).isin(0, 1), F.lit(False))
+    return mask.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("only_0_and_1"), F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "right_width", F.lit(len(known) == len(list(columns)) == len(mask.columns)))

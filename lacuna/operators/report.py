@@ -70,12 +70,10 @@ def summary_with_grouping_sets(df: DataFrame, metrics, seed_col: str = "experime
     aggs = []
     for m in metrics:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.count(m).alias(f"{m}_count")]
-    out = df.rollup(*by, seed_col).agg(F.grouping(seed_col).alias("all_seeds"), *aggs)
-    if by:
-        out = out.where(F.col(by[0]).isNotNull())
+    out = df.groupingSets([list(by), [*by, seed_col]], *by, seed_col).agg(F.grouping(seed_col).alias("all_seeds"), *aggs)
     # the all-runs row is labelled 'all' instead of a NULL seed
     return out.withColumns({"all_seeds": F.col("all_seeds") == 1,
-                            seed_col: F.coalesce(F.col(seed_col).cast("string"), F.lit("all"))})
+                            seed_col: F.when(F.col("all_seeds") == 1, F.lit("all")).otherwise(F.col(seed_col).cast("string"))})
 
 
 def best_with_ties(df: DataFrame, score: str, by, desc: bool = True) -> DataFrame:
@@ -89,6 +87,11 @@ def pivot_subgroups(df: DataFrame, value: str, keys, groups) -> DataFrame:
     return df.groupBy(*keys).pivot("subgroup", list(groups)).agg(F.first(value))
 
 
+def reversed_metric(value: str) -> F.Column:
+    """1 - |x|, so that a higher value is better for disparities too."""
+    return 1 - F.abs(F.col(value))
+
+
 def average_rank(col: str, by=()) -> F.Column:
     """Average rank with ties (for Spearman): (min rank + max rank) / 2."""
     w = Window.partitionBy(*by).orderBy(col)
@@ -184,15 +187,14 @@ def baseline_stats(model_metrics: DataFrame, keys=("dataset_name", "model_name",
 
 def with_baseline(model_metrics: DataFrame, baseline: DataFrame, keys=("dataset_name", "model_name", "metric",
                                                                       "subgroup")) -> DataFrame:
-    """Attach the baseline median per model (the baseline table has one row
-    per model x metric x subgroup: a small dimension, broadcast)."""
-    return model_metrics.join(F.broadcast(baseline), list(keys), "left")
+    """Attach the baseline median per model."""
+    return model_metrics.join(baseline, list(keys), "left")
 
 
 def best_model_filter(model_metrics: DataFrame, best: DataFrame, keep=("boost_clean",)) -> DataFrame:
     """Keep each dataset's best model (or a joint cleaning method)."""
     b = best.select("dataset_name", F.col("best_model").alias("model_name"))
-    chosen = model_metrics.join(F.broadcast(b), ["dataset_name", "model_name"], "left_semi")
+    chosen = model_metrics.join(b, ["dataset_name", "model_name"], "left_semi")
     return chosen.unionByName(model_metrics.where(F.col("model_name").isin(list(keep))))
 
 
@@ -226,13 +228,60 @@ def comparison_name(df: DataFrame) -> DataFrame:
 
 
 def setting_dimension(df: DataFrame, train_col="train_strategy", test_col="test_strategy") -> DataFrame:
-    """setting = train-test mechanism pair; reversed metric = 1 - abs(x)."""
+    """setting = train-test mechanism pair."""
     return df.withColumn("setting", F.concat_ws("-", F.col(train_col), F.col(test_col)))
 
 
+# Scenarios that never stand for a train mechanism.
+NOT_A_TRAIN_SCENARIO = ("exp2_3_mcar3", "exp2_3_mar3", "exp2_3_mnar3")
+
+
 def train_mechanism_to_scenario(train_mechanisms: DataFrame, scenarios: DataFrame,
-                                excluded=("exp1_mcar3", "exp1_mar3", "exp1_mnar3")) -> DataFrame:
-    """First evaluation scenario (by name) whose name contains the mechanism, three excluded."""
+                                excluded=NOT_A_TRAIN_SCENARIO) -> DataFrame:
+    """The first evaluation scenario, in the order of ``position``, whose name contains
+    the mechanism; three are excluded; null where there is none."""
     s = scenarios.where(~F.col("evaluation_scenario").isin(list(excluded)))
-    j = train_mechanisms.join(s, F.lower(F.col("evaluation_scenario")).contains(F.lower(F.col("train_mechanism"))))
-    return j.groupBy("train_mechanism").agg(F.min("evaluation_scenario").alias("evaluation_scenario"))
+    j = train_mechanisms.join(s, F.lower(F.col("evaluation_scenario")).contains(F.lower(F.col("train_mechanism"))), "left")
+    return j.groupBy("train_mechanism").agg(F.min_by("evaluation_scenario", "position").alias("evaluation_scenario"))
+
+
+def with_train_fields(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The train side of each run's scenario joined in: train_scenario,
+    train_strategy ('MAR3' -> MAR), train_error_rate (0.3).  ``scenarios`` has one row per
+    evaluation scenario."""
+    t = F.col("train_scenario")
+    side = scenarios.select("evaluation_scenario", "train_scenario",
+                            F.regexp_extract(t, "^([A-Za-z]+)", 1).alias("train_strategy"),
+                            (F.regexp_extract(t, "([0-9])$", 1).cast("int") * F.lit(0.1)).alias("train_error_rate"))
+    return df.join(F.broadcast(side), "evaluation_scenario")
+
+
+def by_train_rate(df: DataFrame, value: str, by, test_level: int = 3) -> DataFrame:
+    """Mean and std by the train error rate, the test level fixed; ``df`` from
+    :func:`with_scenario_fields` and :func:`with_train_fields`."""
+    level = df.where(F.right("test_scenario", F.lit(1)).cast("int") == test_level)
+    return mean_std(level, value, [*by, "train_error_rate"])
+
+
+def no_shift(df: DataFrame) -> DataFrame:
+    """Runs whose test mechanism is their train mechanism."""
+    return df.where(F.upper("train_strategy") == F.upper("test_strategy"))
+
+
+def finished_runs(metrics: DataFrame, name_col: str = "null_imputer_name", name: str | None = None) -> DataFrame:
+    """The distinct finished experiments (of one model or imputer), sorted."""
+    keys = ["dataset_name", "evaluation_scenario", "experiment_seed"]
+    done = metrics.where("tag = 'OK'")
+    if name is not None:
+        done = done.where(F.col(name_col) == name)
+    return done.select(*keys, name_col).distinct().orderBy(*keys, name_col)
+
+
+def complete_row_counts(parts: DataFrame, features, by=("dataset_name", "evaluation_scenario")) -> DataFrame:
+    """Rows and columns of every training set and how many of its rows are complete;
+    average ``n_complete`` over scenarios for the report."""
+    full = F.lit(True)
+    for c in features:
+        full = full & F.col(c).isNotNull()
+    return parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(list(features))).alias("n_columns"),
+                                  F.count_if(full).alias("n_complete"))

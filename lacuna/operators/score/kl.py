@@ -9,9 +9,11 @@ normalised vectors.  Special cases: <= 2 truths -> NULL; both sides constant ->
 a point mass.
 
 Execution: group statistics are one small aggregate (one row per group, a
-number bounded by the spec, so broadcasting it is safe); density sums are
-partial sums per Arrow batch in ``mapInPandas`` (at most groups x 1000 rows per
-task), added up by one group-by.  The n x 1000 cross product never exists.
+number bounded by the spec, so broadcasting it is safe); the values of a group
+are first counted, so each distinct value is evaluated once and weighted by its
+count (imputed values collapse to a handful); density sums are partial sums per
+Arrow batch in ``mapInPandas`` (at most groups x 1000 rows per task), added up
+by one group-by.  The n x 1000 cross product never exists.
 """
 
 from __future__ import annotations
@@ -38,17 +40,17 @@ def _scoped(cells: DataFrame) -> DataFrame:
 def _group_stats(scoped: DataFrame, grid: int) -> DataFrame:
     st = scoped.groupBy(*KEYS, "scope").agg(
         F.count("t").alias("n"), F.avg("t").alias("mu"), F.stddev_pop("t").alias("sd"),
-        F.count_distinct("t").alias("dt"), F.count_distinct("p").alias("dp"),
         F.count("p").alias("np"),
         F.min("t").alias("tmin"), F.max("t").alias("tmax"), F.min("p").alias("pmin"), F.max("p").alias("pmax"),
         F.stddev_samp("t").alias("sst"), F.stddev_samp("p").alias("ssp"),
         F.min("t").alias("t0"), F.min("p").alias("p0"))
     s = F.coalesce(F.nullif(F.col("sd"), F.lit(0.0)), F.lit(1.0))
     scale = lambda e: (e - F.col("mu")) / s
+    one_p, one_t = F.col("pmin") == F.col("pmax"), F.col("tmin") == F.col("tmax")
     branch = (F.when(F.col("n") <= 2, F.lit("none"))
-              .when((F.col("dp") == 1) & (F.col("dt") == 1), F.lit("const"))
-              .when(F.col("dp") == 1, F.lit("pred_point"))
-              .when(F.col("dt") == 1, F.lit("true_point"))
+              .when(one_p & one_t, F.lit("const"))
+              .when(one_p, F.lit("pred_point"))
+              .when(one_t, F.lit("true_point"))
               .otherwise(F.lit("kde")))
     return st.select(
         *KEYS, "scope", "n", "np", branch.alias("branch"),
@@ -71,7 +73,8 @@ def _points(p):
 
 
 def _density_sums_fn(params: dict):
-    """Partial sums of exp(-d^2/2) per (group, grid point) for one Arrow batch."""
+    """Partial sums of count * exp(-d^2/2) per (group, grid point) for one Arrow batch of
+    (gid, side, v, n): side 't' (truth) or 'p' (imputed)."""
     def fn(batches):
         for pdf in batches:
             out = []
@@ -80,21 +83,19 @@ def _density_sums_fn(params: dict):
                 if p is None:
                     continue
                 x = _points(p)
-                st = np.zeros(len(x))
-                sp = np.zeros(len(x))
-                ts = (g["t"].to_numpy(dtype=float) - p["mu"]) / p["s"]
-                ps = (g["p"].to_numpy(dtype=float) - p["mu"]) / p["s"]
-                ps = ps[~np.isnan(ps)]
-                if p["branch"] in ("kde", "pred_point"):
-                    for i in range(0, len(ts), CHUNK):
-                        d = (x[None, :] - ts[i:i + CHUNK, None]) / p["ht"]
-                        st += np.exp(-0.5 * d * d).sum(axis=0)
-                if p["branch"] in ("kde", "true_point"):
-                    for i in range(0, len(ps), CHUNK):
-                        d = (x[None, :] - ps[i:i + CHUNK, None]) / p["hp"]
-                        sp += np.exp(-0.5 * d * d).sum(axis=0)
+                sums = {}
+                for side, other, width in (("t", "true_point", "ht"), ("p", "pred_point", "hp")):
+                    total = np.zeros(len(x))
+                    h = g[g["side"] == side]
+                    if p["branch"] != other:
+                        v = (h["v"].to_numpy(dtype=float) - p["mu"]) / p["s"]
+                        n = h["n"].to_numpy(dtype=float)
+                        for i in range(0, len(v), CHUNK):
+                            d = (x[None, :] - v[i:i + CHUNK, None]) / p[width]
+                            total += n[i:i + CHUNK] @ np.exp(-0.5 * d * d)
+                    sums[side] = total
                 out.append(pd.DataFrame({"gid": gid, "j": np.arange(len(x), dtype=np.int32),
-                                         "x": x, "st": st, "sp": sp}))
+                                         "x": x, "st": sums["t"], "sp": sums["p"]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
     return fn
@@ -103,17 +104,21 @@ def _density_sums_fn(params: dict):
 def numeric_kl(cells: DataFrame, grid: int = 1000) -> DataFrame:
     """(part, column, subgroup, kl_divergence_pred, kl_divergence_total) for numeric cells."""
     scoped = _scoped(cells)
-    stats = _group_stats(scoped, grid).cache()  # one row per group
+    stats = _group_stats(scoped, grid)
     # Group parameters: one row per (part, column, subgroup, scope) -- bounded by
     # the scenario spec, not by the data -- shipped to tasks in the closure.
-    params = {r["gid"]: r.asDict() for r in
-              stats.where(F.col("branch").isin("kde", "pred_point", "true_point")).collect()}
+    rows = stats.collect()
+    stats = cells.sparkSession.createDataFrame(rows, stats.schema)
+    params = {r["gid"]: r.asDict() for r in rows if r["branch"] in ("kde", "pred_point", "true_point")}
     if not params:
         dens = None
     else:
-        from ...session import spread
-        # CPU-heavy per row (grid evaluations): make sure every core gets a share
-        work = spread(scoped.select(F.concat_ws("\u0001", *KEYS, "scope").alias("gid"), "t", "p"))
+        sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("v")),
+                                  F.struct(F.lit("p").alias("side"), F.col("p").alias("v"))))
+        valued = scoped.select(F.concat_ws("\u0001", *KEYS, "scope").alias("gid"), sides.alias("x")).select("gid", "x.*")
+        counted = valued.where("v IS NOT NULL").groupBy("gid", "side", "v").agg(F.count(F.lit(1)).alias("n"))
+        # CPU-heavy per row (grid evaluations), so not coalesced by bytes
+        work = counted.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gid", "side", "v")
         dens = (work.mapInPandas(_density_sums_fn(params), "gid string, j int, x double, st double, sp double")
                 .groupBy("gid", "j").agg(F.first("x").alias("x"), F.sum("st").alias("st"), F.sum("sp").alias("sp")))
     if dens is not None:

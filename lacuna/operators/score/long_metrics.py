@@ -20,22 +20,28 @@ def _joined(cells: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def per_variable_metrics(cells: DataFrame, variables: DataFrame, targets_only: bool = False) -> DataFrame:
-    """Per variable and 'all' -- RMSE (raw and divided by the
-    declared range; binaries thresholded at 0.5), fraction incorrect for
-    discrete types, accuracy; only the target cells (is_target)."""
+    """Per variable and 'all' over the target cells (is_target): RMSE,
+    raw and in units of the declared range; fraction incorrect and accuracy of the discrete
+    types.  Binaries are thresholded at 0.5, a wrong category is an error of 1, ordinals
+    err by their distance, and a text cell counts as no error.  Auxiliary variables (an
+    ``aux`` column that is true) are left out of 'all' and of the rows."""
     j = _joined(cells, variables).where("is_target")
+    if "aux" in variables.columns:
+        j = j.join(F.broadcast(variables.where("aux").select(F.col("name").alias("col"))), "col", "left_anti")
     if targets_only:
         j = j.where("target")
-    discrete = F.col("type").isin("binary", "categorical", "ordinal")
-    pred = F.when(F.col("type") == "binary", (F.col("pred") >= 0.5).cast("double")).when(
-        discrete, F.rint("pred")).otherwise(F.col("pred"))
-    err = F.when(discrete, (pred != F.col("truth")).cast("double"))
-    sq = F.when(~discrete, (pred - F.col("truth")) ** 2)
-    sqn = F.when(~discrete, ((pred - F.col("truth")) / (F.col("upper") - F.col("lower"))) ** 2)
-    agg = j.withColumn("col", F.col("col")).rollup("col").agg(
-        F.sqrt(F.avg(sq)).alias("rmse"), F.sqrt(F.avg(sqn)).alias("normalised_rmse"),
-        F.avg(err).alias("fraction_incorrect"), (1 - F.avg(err)).alias("accuracy"), F.count("*").alias("n"))
-    return agg.withColumn("col", F.coalesce("col", F.lit("all")))
+    kind = F.col("type")
+    discrete = kind.isin("binary", "categorical", "ordinal")
+    pred = F.when(kind == "binary", (F.col("pred") >= 0.5).cast("double")).otherwise(F.col("pred"))
+    gap = (F.when(kind == "text", F.lit(0.0))
+           .when(kind == "categorical", (pred != F.col("truth")).cast("double"))
+           .otherwise(pred - F.col("truth")))
+    in_range = F.when(kind.isin("continuous", "ordinal"), F.try_divide(gap, F.col("upper") - F.col("lower"))).otherwise(gap)
+    wrong = F.when(discrete, (F.rint(pred) != F.col("truth")).cast("double"))
+    agg = j.groupingSets([[], ["col"]], "col").agg(
+        F.grouping("col").alias("__all"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.sqrt(F.avg(in_range * in_range)).alias("normalised_rmse"),
+        F.avg(wrong).alias("fraction_incorrect"), (1 - F.avg(wrong)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return agg.withColumn("col", F.when(F.col("__all") == 1, F.lit("all")).otherwise(F.col("col"))).drop("__all")
 
 
 def binary_confusion(cells: DataFrame, variables: DataFrame) -> DataFrame:

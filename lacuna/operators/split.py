@@ -14,9 +14,9 @@ from ..functions.hashing import hash_key, hash_unit, kth_keys, sql_hash_key
 TRAIN, TEST, VAL = "X_train_val", "X_test", "X_val"
 
 
-def _check_fraction(f):
-    if f < 0.0 or f > 1.0:
-        raise ValueError("test_set_fraction must be a float in the [0.0-1.0] range")
+def _check_fraction(share):
+    if not 0 <= share <= 1:
+        raise ValueError(f"cannot split off {share} of the rows: not a share")
 
 
 def _cut(df: DataFrame, seed, salt: str, k: int, row_id: str, level1=None):
@@ -93,16 +93,16 @@ def kfold(df: DataFrame, seed: int, k: int = 3, row_id: str = "row_id", fold_col
 
 def capped_slices(df: DataFrame, seed: int, val_size: int, max_size: int | None = None, test_size: int | None = None,
                   row_id: str = "row_id", part_col: str = "part") -> DataFrame:
-    """T5: rows in seeded hash order, capped at ``max_size``; the first ``val_size``
-    are X_val, the next ``test_size`` (default int(0.3 * (N - val))) X_test, the rest
-    X_train_val; rows past the cap are dropped (the cap is the operator's own)."""
+    """T5: rows in seeded hash order, capped at ``max_size`` where one is given; the first
+    ``test_size`` (default int(0.3 * (N - val))) are X_test, the next ``val_size`` X_val, the
+    rest X_train_val; rows past the cap are dropped (the cap is the operator's own)."""
     keyed = df.withColumn("__sk", hash_key(seed, "slices", row_id))
     n = df.count()
     n = min(n, max_size) if max_size is not None else n
     t = int(0.3 * (n - val_size)) if test_size is None else test_size
-    cuts = {"v": val_size, "t": val_size + t, "n": n}
+    cuts = {"t": t, "v": t + val_size, "n": n}
     thr = {name: (kth_keys(keyed, "__sk", {"__all__": k})["__all__"] if k > 0 else None) for name, k in cuts.items()}
     le = lambda name: F.col("__sk") <= F.lit(thr[name]) if thr[name] is not None else F.lit(False)
     return (keyed.where(le("n"))
-            .withColumn(part_col, F.when(le("v"), F.lit(VAL)).when(le("t"), F.lit(TEST)).otherwise(F.lit(TRAIN)))
+            .withColumn(part_col, F.when(le("t"), F.lit(TEST)).when(le("v"), F.lit(VAL)).otherwise(F.lit(TRAIN)))
             .drop("__sk"))

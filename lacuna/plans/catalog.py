@@ -60,6 +60,14 @@ def oracle_sql() -> dict:
     return {n: q.sql for n, q in REGISTRY.items() if q.sql}
 
 
+def reset():
+    """A cold start: forget shared experiments and cached tables (the bench calls it before
+    every query)."""
+    from . import q_models, q_reports
+    q_models.reset()
+    q_reports.reset()
+
+
 _LOADED = False
 
 
@@ -67,11 +75,6 @@ def _load_all():
     global _LOADED
     if _LOADED:
         return
-    from . import q_experiment  # noqa: F401
-    for mod in ("q_operators", "q_reports", "q_models", "q_neighbours", "q_imputers", "q_graph"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from . import (q_experiment, q_graph, q_imputers, q_models, q_more,  # noqa: F401
+                   q_neighbours, q_operators, q_reports)
     _LOADED = True

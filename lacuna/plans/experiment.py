@@ -19,7 +19,7 @@ from ..operators.impute.simple import IMPUTERS, sql_stats
 from ..operators.inject import inject, sql_inject
 from ..operators.score.cells import MISS, REAL, score, sql_score, with_missing_flags, with_truth
 from ..operators.split import TEST, TRAIN, sql_train_test_split, train_test_split
-from ..session import spread
+from ..session import drop_path, spread, write_barrier
 from ..sources.tables import TableSpec, base_sql
 from .scenarios import injection_scenarios, scenario_steps, test_part
 
@@ -46,13 +46,33 @@ def prepare_parts(spec: TableSpec, evaluation_scenario: str, seed: int, n: int |
     return out
 
 
+def make_imputer(spec: TableSpec, name: str):
+    return IMPUTERS[name](spec.lower_bounds) if name == "min-mode" else IMPUTERS[name]()
+
+
 def impute(spec: TableSpec, parts: DataFrame, imputer_name: str):
-    """Fit on the train part (after injection), transform every part; I32 minutes."""
+    """Fit on the train part (after injection) and transform every part, lazily; minutes
+    of the fit alone (:func:`timed_impute` times the whole imputation)."""
     t0 = time.time()
-    model = IMPUTERS[imputer_name]().fit(parts.where(F.col("part") == TRAIN), spec.numeric, spec.categorical)
+    model = make_imputer(spec, imputer_name).fit(parts.where(F.col("part") == TRAIN), spec.numeric, spec.categorical)
     return model.transform(parts), model, (time.time() - t0) / 60.0
 
 
+def timed_impute(spec: TableSpec, parts: DataFrame, imputer_name: str):
+    """I32: the imputed parts, written in the shared folder, their path, and the minutes
+    from the start of the fit to the end of the write."""
+    t0 = time.time()
+    imputed, path = write_barrier(impute(spec, parts, imputer_name)[0], "imputed")
+    return imputed, path, (time.time() - t0) / 60.0
+
+
+def drop_sensitive(spec: TableSpec, parts: DataFrame) -> tuple[DataFrame, list, list]:
+    """The parts without their sensitive columns, and the numeric and categorical lists
+    without them: what models are trained on."""
+    gone = set(spec.sensitive_attrs)
+    return parts.drop(*gone), [c for c in spec.numeric if c not in gone], [c for c in spec.categorical if c not in gone]
+
+
 def imputation_metrics(spec: TableSpec, imputer_name: str, evaluation_scenario: str, seed: int,
                        numeric_kl: bool = True, parts: DataFrame | None = None) -> DataFrame:
     parts = prepare_parts(spec, evaluation_scenario, seed) if parts is None else parts
@@ -79,9 +99,9 @@ def sql_prepare_parts(dataset: str, features, evaluation_scenario: str, seed: in
     return f"SELECT *, {flags} FROM ({injected})"
 
 
-def sql_impute(parts_sql: str, imputer: str, numeric, categorical) -> str:
+def sql_impute(parts_sql: str, imputer: str, numeric, categorical, bounds: dict | None = None) -> str:
     train = f"SELECT * FROM ({parts_sql}) WHERE part = '{TRAIN}'"
-    stats = sql_stats(imputer, numeric, categorical, train)
+    stats = sql_stats(imputer, numeric, categorical, train, bounds)
     repl = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in stats.items())
     where = ""
     if imputer == "deletion":
@@ -116,17 +136,20 @@ def run_grid(spec: TableSpec, imputers, scenarios, seeds, store=None, numeric_kl
         for seed in seeds:
             parts = prepare_parts(spec, scenario, seed)
             for imp in imputers:
-                imputed, _, minutes = impute(spec, parts, imp)
+                imputed, path, minutes = timed_impute(spec, parts, imp)
                 m = score(imputed, spec.numeric, spec.categorical, spec.sensitive, numeric_kl=numeric_kl)
                 m = m.select(F.lit(spec.name).alias("dataset_name"), F.lit(imp).alias("null_imputer_name"),
                              F.lit(scenario).alias("evaluation_scenario"), F.lit(seed).alias("experiment_seed"),
                              *m.columns)
-                frames.append(with_metric_keys(m, minutes, store.session_uuid if store else None))
-                if store is not None and save_imputed:
+                m = with_metric_keys(m, minutes, store.session_uuid if store else None)
+                if store is None:
+                    frames.append(m)
+                    continue
+                store.append("imputation_metrics", m)
+                if save_imputed:
                     store.save_imputed(imputed.select("part", "row_id", *spec.features), spec.name, imp,
                                        scenario, seed)
-    rows = reduce(lambda a, b: a.unionByName(b), frames)
+                drop_path(parts.sparkSession, path)
     if store is None:
-        return rows
-    store.append("imputation_metrics", rows)
+        return reduce(lambda a, b: a.unionByName(b), frames)
     return store.read("imputation_metrics", dataset_name=spec.name)

@@ -12,7 +12,7 @@ from ..operators.encode import ColumnScaler, OrdinalCodes, sql_ordinal_encode
 from ..operators.impute.repairs import fit_repairs, repair_table, sql_repair_table
 from ..operators.impute.simple import SimpleImputer, sql_num_stat, sql_rank_value
 from ..operators.inject import inject, sql_inject
-from ..operators.inject_cells import bootstrap, random_cells, sql_random_cells, systematic_rates
+from ..operators.inject_cells import bootstrap, poisson_bars, random_cells, sql_random_cells, systematic_rates
 from ..operators.split import TRAIN, sql_train_test_split, train_test_split
 from ..sources.tables import DATASETS, base_sql, load, read
 from .catalog import register
@@ -53,13 +53,9 @@ def _j12(spark, sf):
 
 # ---- J16 bootstrap ---------------------------------------------------------------------
 
-def _poisson_case(u: str, kmax: int = 12) -> str:
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax):
-        acc += term
-        cdf.append(acc)
-        term /= (k + 1)
-    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {kmax} END"
+def _poisson_case(u: str) -> str:
+    bars = poisson_bars()
+    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(bars)) + f" ELSE {len(bars)} END"
 
 
 @register("bootstrap_copies",
@@ -172,15 +168,15 @@ def _t7(spark, sf):
 
 
 @register("key_integrity", """
-SELECT CAST(o_custkey AS BIGINT) AS key, 'left_only' AS side FROM (SELECT DISTINCT o_custkey FROM orders) o
-  ANTI JOIN customer c ON o.o_custkey = c.c_custkey
-UNION ALL
-SELECT CAST(c_custkey AS BIGINT) AS key, 'right_only' AS side FROM (SELECT DISTINCT c_custkey FROM customer) c
-  ANTI JOIN orders o ON o.o_custkey = c.c_custkey""")
+WITH l AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
+r AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal >= 0)
+SELECT CAST(k AS BIGINT) AS key, 'left_only' AS side FROM l ANTI JOIN r USING (k)
+UNION ALL SELECT CAST(k AS BIGINT) AS key, 'right_only' AS side FROM r ANTI JOIN l USING (k)""")
 def _p12(spark, sf):
+    """Customers with an urgent order against customers without debt: keys miss on both sides."""
     from ..operators.nullops import integrity_violations
-    o = read(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("key")).distinct()
-    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key")).distinct()
+    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("long").alias("key")).distinct()
+    c = read(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("long").alias("key")).distinct()
     return integrity_violations(o, c, "key")
 
 
@@ -241,20 +237,18 @@ def _e20(spark, sf):
 from ..operators.split import capped_slices  # noqa: E402
 
 
-def _slices_sql(val_size, max_size):
+def _slices_sql(val_size):
     key = sql_hash_key(SEED, "slices", "row_id")
+    test = f"CAST(floor(CAST(0.3 AS DOUBLE) * (n - {val_size})) AS BIGINT)"
     return f"""
-WITH r AS (SELECT row_id, row_number() OVER (ORDER BY {key}) AS rn, least(count(*) OVER (), {max_size}) AS n FROM ({BASE}))
-SELECT row_id, CASE WHEN rn <= {val_size} THEN 'X_val'
-                    WHEN rn <= {val_size} + CAST(floor(CAST(0.3 AS DOUBLE) * (n - {val_size})) AS BIGINT) THEN 'X_test'
-                    ELSE 'X_train_val' END AS part
-FROM r WHERE rn <= n"""
+WITH r AS (SELECT row_id, row_number() OVER (ORDER BY {key}) AS rn, count(*) OVER () AS n FROM ({BASE}))
+SELECT row_id, CASE WHEN rn <= {test} THEN 'X_test' WHEN rn <= {test} + {val_size} THEN 'X_val' ELSE 'X_train_val' END AS part FROM r"""
 
 
-# Validation size and row cap of the capped slices (the operator's parameters).
-SLICE_VAL, SLICE_MAX = 1000, 10000
+# Fixed value: validation size of the slices (the operator's parameter; its row cap is off).
+SLICE_VAL = 1000
 
 
-@register("capped_slices", _slices_sql(SLICE_VAL, SLICE_MAX))
+@register("capped_slices", _slices_sql(SLICE_VAL))
 def _t5(spark, sf):
-    return capped_slices(load(spark, sf, "orders").df, SEED, SLICE_VAL, SLICE_MAX).select("row_id", "part")
+    return capped_slices(load(spark, sf, "orders").df, SEED, SLICE_VAL).select("row_id", "part")

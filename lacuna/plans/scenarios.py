@@ -30,39 +30,43 @@ EVALUATION_SCENARIOS = {
     "exp2_3_mnar3": ("MNAR3", _ALL15),
 }
 
-# Injection specs of the stand-in datasets, five rates per spec row.
+
+def _levels(top: float) -> list[float]:
+    """The five rates of a spec row: equal steps up to ``top``."""
+    return [round(top * level / 5, 4) for level in range(1, 6)]
+
+
+# Injection specs of the stand-in datasets, chosen from their own columns: MCAR nulls up to
+# half of any feature; under MAR and MNAR the named rows lose up to HIGH of their cells and
+# their counterpart up to LOW.  Orders: two of five equal market segments, the lower two of
+# five regions, prices from 200,000 (about a third), customers in debt, urgent orders.
+# Lineitem: the open half of the lines, the top fifth of quantities, middling discounts.
+HIGH, LOW = 0.40, 0.15
 INJECTION_SPECS = {
     "orders": {
-        "MCAR": [
-            (("o_totalprice", "c_acctbal", "o_orderpriority", "c_nation"), None, [0.1, 0.2, 0.3, 0.4, 0.5]),
-        ],
+        "MCAR": [(("o_totalprice", "c_acctbal", "o_orderpriority", "c_nation"), None, _levels(0.5))],
         "MAR": [
-            (("o_totalprice", "o_orderpriority"), ("c_mktsegment", "BUILDING"), [0.08, 0.12, 0.20, 0.28, 0.35]),
-            (("o_totalprice", "o_orderpriority"), ("c_mktsegment", ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
-             [0.02, 0.08, 0.10, 0.12, 0.15]),
-            (("c_acctbal", "c_nation"), ("n_regionkey", ["0", "1"]), [0.08, 0.12, 0.20, 0.28, 0.35]),
-            (("c_acctbal", "c_nation"), ("n_regionkey", ["2", "3", "4"]), [0.02, 0.08, 0.10, 0.12, 0.15]),
+            (("c_acctbal", "o_orderpriority"), ("c_mktsegment", ["BUILDING", "MACHINERY"]), _levels(HIGH)),
+            (("c_acctbal", "o_orderpriority"), ("c_mktsegment", ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD"]), _levels(LOW)),
+            (("o_totalprice", "c_nation"), ("n_regionkey", ["0", "1"]), _levels(HIGH)),
+            (("o_totalprice", "c_nation"), ("n_regionkey", ["2", "3", "4"]), _levels(LOW)),
         ],
         "MNAR": [
-            (("o_totalprice",), ("o_totalprice", {"ge": 250000.0}), [0.09, 0.18, 0.25, 0.30, 0.35]),
-            (("o_totalprice",), ("o_totalprice", {"lt": 250000.0}), [0.01, 0.02, 0.05, 0.10, 0.15]),
-            (("c_acctbal",), ("c_acctbal", {"gt": 0.0, "le": 5000.0}), [0.09, 0.18, 0.25, 0.30, 0.35]),
-            (("o_orderpriority",), ("o_orderpriority", ["1-URGENT", "2-HIGH"]), [0.09, 0.18, 0.25, 0.30, 0.35]),
-            (("o_orderpriority",), ("o_orderpriority", ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]),
-             [0.01, 0.02, 0.05, 0.10, 0.15]),
+            (("o_totalprice",), ("o_totalprice", {"ge": 200000.0}), _levels(HIGH)),
+            (("o_totalprice",), ("o_totalprice", {"lt": 200000.0}), _levels(LOW)),
+            (("c_acctbal",), ("c_acctbal", {"lt": 0.0}), _levels(HIGH)),
+            (("o_orderpriority",), ("o_orderpriority", "1-URGENT"), _levels(HIGH)),
         ],
     },
     "lineitem": {
-        "MCAR": [
-            (("l_quantity", "l_extendedprice", "l_discount", "l_linenumber_s"), None, [0.1, 0.2, 0.3, 0.4, 0.5]),
-        ],
+        "MCAR": [(("l_quantity", "l_extendedprice", "l_discount", "l_linenumber_s"), None, _levels(0.5))],
         "MAR": [
-            (("l_quantity", "l_linenumber_s"), ("l_linestatus", "O"), [0.08, 0.12, 0.20, 0.28, 0.35]),
-            (("l_quantity", "l_linenumber_s"), ("l_linestatus", "F"), [0.02, 0.08, 0.10, 0.12, 0.15]),
+            (("l_extendedprice", "l_linenumber_s"), ("l_linestatus", "O"), _levels(HIGH)),
+            (("l_extendedprice", "l_linenumber_s"), ("l_linestatus", "F"), _levels(LOW)),
         ],
         "MNAR": [
-            (("l_quantity",), ("l_quantity", {"ge": 25.0}), [0.09, 0.18, 0.25, 0.30, 0.35]),
-            (("l_discount",), ("l_discount", {"lt": 0.05}), [0.01, 0.02, 0.05, 0.10, 0.15]),
+            (("l_quantity",), ("l_quantity", {"gt": 40.0}), _levels(HIGH)),
+            (("l_discount",), ("l_discount", {"ge": 0.03, "le": 0.06}), _levels(LOW)),
         ],
     },
 }

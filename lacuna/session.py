@@ -54,12 +54,16 @@ def cut_lineage(df):
 
 
 def spread(df, key=None):
-    """Hash-spread a frame over at least the default parallelism, but only when its
-    plan has fewer partitions than that (small inputs: one parquet split).  Large
-    inputs already have more splits than cores and pass through unshuffled."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    """Hash-spread a frame over the default parallelism when its scans are too small to fill
+    that many tasks (one parquet split, say).  The sizes come from the plan's leaves, no job
+    runs for it, and larger inputs pass through unshuffled."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= target * split:
         return df
     return df.repartition(target, key) if key is not None else df.repartition(target)
 

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv_with_mask(spark: SparkSession, path: str, schema: StructType, max_rows: int | None = None):
-    """Header-less CSV -> (data with empty strings as NULL, 0/1 observed mask)."""
+def read_csv_with_mask(spark: SparkSession, path: str, schema: StructType, max_rows: int | None = None, order_by=None):
+    """Header-less CSV -> (data with empty strings as NULL, 0/1 observed mask).  The
+    loader's own row cap takes the first rows in the order of ``order_by``."""
     df = spark.read.csv(path, header=False, schema=schema, emptyValue=None, nullValue="")
-    if max_rows is not None:  # the loader's own row cap (a feature of the source)
-        df = df.limit(max_rows)
+    if max_rows is not None:
+        if order_by is None:
+            raise ValueError("a row cap needs an order: name the columns to order by")
+        df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(max_rows)
     mask = df.select(*[F.col(f.name).isNotNull().cast("int").alias(f.name) for f in schema.fields])
     return df, mask
 
@@ -51,8 +54,9 @@ def drop_unobserved(df: DataFrame, row="row_id", col="col_id", value="value"):
 
 def assert_observed_in_train(train: DataFrame, features, col="col_id", value="value"):
     """Fail when a feature has no observed value in train."""
-    seen = {r[0] for r in train.where(F.col(value).isNotNull()).select(col).distinct().collect()}
-    missing = [f for f in features if f not in seen]
+    # only the features asked for are looked up; at most that many names reach the driver
+    wanted = train.sparkSession.createDataFrame([(f,) for f in features], f"{col} {dict(train.dtypes)[col]}")
+    missing = sorted(r[0] for r in wanted.join(train.where(F.col(value).isNotNull()), col, "left_anti").collect())
     if missing:
         raise ValueError(f"features without an observed train value: {missing}")
 

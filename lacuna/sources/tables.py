@@ -32,6 +32,8 @@ class TableSpec:
     categorical: tuple = ()
     # attr -> disadvantaged value(s); "A & B" -> intersection (value None)
     sensitive: dict = field(default_factory=dict)
+    # numeric column -> declared lower bound
+    lower_bounds: dict = field(default_factory=dict)
     test_fraction: float = 0.2
 
     @property
@@ -58,12 +60,14 @@ DATASETS = {
         categorical=("o_orderpriority", "c_nation"),
         sensitive={"c_mktsegment": "BUILDING", "n_regionkey": ["0", "1"],
                    "c_mktsegment & n_regionkey": None},
+        lower_bounds={"o_totalprice": 0.0, "c_acctbal": -1000.0},
         test_fraction=0.2,
     ),
     "lineitem": dict(
         numeric=("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
         categorical=("l_linenumber_s",),
         sensitive={"l_linestatus": "O"},
+        lower_bounds={"l_quantity": 1.0, "l_extendedprice": 0.0, "l_discount": 0.0, "l_tax": 0.0},
         test_fraction=0.2,
     ),
 }

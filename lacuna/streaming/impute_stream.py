@@ -33,12 +33,13 @@ def null_counts_per_batch(writer, columns):
     return body
 
 
-def run_available(query_df: DataFrame, checkpoint: str, foreach_batch=None, sink_name: str | None = None):
-    """Process everything available now and stop (``availableNow`` trigger)."""
+def run_available(query_df: DataFrame, checkpoint: str, foreach_batch=None, path: str | None = None):
+    """Process everything available now and stop (``availableNow`` trigger), into the
+    ``foreach_batch`` function or, as Parquet, under ``path``."""
+    if (foreach_batch is None) == (path is None):
+        raise ValueError("name one sink: foreach_batch or path")
     w = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
-    else:
-        q = w.format("memory").queryName(sink_name or "lacuna_stream").outputMode("append").start()
+    q = (w.foreachBatch(foreach_batch) if foreach_batch is not None else
+         w.format("parquet").option("path", path).outputMode("append")).start()
     q.awaitTermination()
     return q

@@ -77,13 +77,13 @@ def test_chain_never_draws_a_cell_twice(spark, orders):
 
 
 @pytest.mark.parametrize("step,msg", [
-    (Step("XYZ", ("o_totalprice",), 0.3), "Invalid strategy"),
-    (Step("MCAR", ("nope",), 0.3), "must be the dataframe column names"),
-    (Step("MCAR", ("o_totalprice",), 1.3), "range"),
-    (Step("MAR", ("o_totalprice",), 0.3, "c_mktsegment"), "should be a tuple"),
-    (Step("MNAR", ("o_totalprice", "c_acctbal"), 0.3, ("o_totalprice", 1.0)), "1 element"),
-    (Step("MNAR", ("c_acctbal",), 0.3, ("o_totalprice", 1.0)), "same as the condition column"),
-    (Step("MAR", ("c_acctbal",), 0.3, ("o_totalprice", {"ge": 1, "gt": 2})), "more than one greater"),
+    (Step("XYZ", ("o_totalprice",), 0.3), "unknown mechanism"),
+    (Step("MCAR", ("nope",), 0.3), "no such column"),
+    (Step("MCAR", ("o_totalprice",), 1.3), "not a share"),
+    (Step("MAR", ("o_totalprice",), 0.3, "c_mktsegment"), "condition is needed"),
+    (Step("MNAR", ("o_totalprice", "c_acctbal"), 0.3, ("o_totalprice", 1.0)), "depends on itself"),
+    (Step("MNAR", ("c_acctbal",), 0.3, ("o_totalprice", 1.0)), "depends on itself"),
+    (Step("MAR", ("c_acctbal",), 0.3, ("o_totalprice", {"ge": 1, "gt": 2})), "two low bounds"),
 ])
 def test_validation_messages(spark, orders, step, msg):
     with pytest.raises(ValueError, match=msg):

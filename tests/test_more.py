@@ -126,9 +126,12 @@ def test_streaming_imputer(spark, tmp_path):
         .write.parquet(src)
     model = SimpleImputer("median", "most_frequent").fit(ev, ["value"], [])
     stream = spark.readStream.schema("event_id long, user_id long, event_type string, value double").parquet(src)
-    run_available(impute_stream(stream, model), str(tmp_path / "ck"), sink_name="imputed_events")
-    assert spark.sql("SELECT count(*) FROM imputed_events WHERE value IS NULL").first()[0] == 0
-    assert spark.sql("SELECT count(*) FROM imputed_events").first()[0] == ev.count()
+    run_available(impute_stream(stream, model), str(tmp_path / "ck"), path=str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("value IS NULL").count() == 0
+    assert out.count() == ev.count()
+    with pytest.raises(ValueError):
+        run_available(stream, str(tmp_path / "ck2"))
 
 
 def test_run_grid_store_and_imputed_sets(spark, tmp_path):
