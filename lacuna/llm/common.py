@@ -10,6 +10,8 @@ from ..session import drop_path, write_barrier
 
 #: Bytes of one Arrow batch handed to Python.
 BATCH_BYTES = 16 << 20
+#: Bytes of a shuffle partition up to which a join builds a hash table of it.
+HASH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Texts differ in length by orders of magnitude: bound Arrow batches by bytes, not by
-    rows alone."""
+    """Settings of the session that the operators rely on.  Texts differ in length by orders
+    of magnitude, so Arrow batches are bounded by bytes, not by rows alone; and a join whose
+    partitions all turn out small at run time hashes them instead of sorting."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASH_BYTES))
 
 
 class Scratch:

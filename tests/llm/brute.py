@@ -81,10 +81,10 @@ def xx(text):
 
 def simhash(line):
     hashes = [xx(w) for w in norm(line).split()]
-    top, out = max(hashes, key=signed), 0
+    out = 0
     for i in range(64):
         c = 2 * sum(h >> i & 1 for h in hashes)
-        out |= (c > len(hashes) or (c == len(hashes) and top >> i & 1)) << i
+        out |= (c > len(hashes) or (c == len(hashes) and i % 2 == 1)) << i
     return out
 
 
@@ -116,6 +116,9 @@ def line_marks(rows, bits=3, similarity=0.8):
         for j in np.flatnonzero(apart <= bits) + i + 1:
             a, b = texts[i], texts[j]
             longer = max(len(a), len(b))
+            wa, wb = set(a.split()), set(b.split())
+            if 2 * len(wa & wb) < max(len(wa), len(wb)):
+                continue
             if abs(len(a) - len(b)) <= (1 - similarity) * longer + 1e-9 and edits(a, b) <= (1 - similarity) * longer + 1e-9:
                 groups.join(i, int(j))
     at = {t: groups.find(k) for k, t in enumerate(texts)}
