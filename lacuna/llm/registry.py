@@ -11,15 +11,20 @@ def _modules():
     return [import_module(f"{__package__}.{m}") for m in MODULES]
 
 
+def _pipeline():
+    return import_module("corpus_pipeline")
+
+
 def queries() -> dict:
     out = {}
     for m in _modules():
         out.update(m.QUERIES)
-    return out
+    return out | {"pipeline": _pipeline().run}
 
 
 def oracle_sql() -> dict:
     out = {}
     for m in _modules():
         out.update(m.ORACLE)
-    return out
+    sql = _pipeline().ORACLE_SQL
+    return out | ({"pipeline": sql} if sql else {})
