@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -10,6 +13,8 @@ from ..session import drop_path, write_barrier
 
 #: Bytes of one Arrow batch handed to Python.
 BATCH_BYTES = 16 << 20
+#: Seconds of a write after which the shuffle files behind it are given up at once.
+LONG_S = 5
 #: Bytes of a shuffle partition up to which a join builds a hash table of it.
 HASH_BYTES = 32 << 20
 
@@ -36,7 +41,14 @@ class Scratch:
         bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        began = time.time()
         out, self.paths[name] = write_barrier(df, f"{self.tag}-{name}")
+        if time.time() - began > LONG_S:
+            # Spark removes shuffle files once their plan is garbage, so ask for that now:
+            # the shuffles behind a long write are large, and the written table replaces them
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *names: str) -> None:

@@ -244,26 +244,25 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], prior: float, steps: int = 150, rate: float = 0.5,
-               shrink: float = 1e-4) -> np.ndarray:
-    """Logistic weights (the last is the intercept) from (feature, value, target) rows, by
-    full-batch gradient steps with per-weight scaling; deterministic.  A row's values add up
-    to three times its weight of evidence, and the rest of 1 is the prior's."""
-    index = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-    owner = np.repeat(np.arange(len(rows)), np.diff(at))
-    target = np.array([r[2] for r in rows])
-    sure = np.bincount(owner, value, len(rows)) / 3
+def fit_scorer(index: np.ndarray, value: np.ndarray, lengths: np.ndarray, target: np.ndarray, prior: float,
+               steps: int = 150, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
+    """Logistic weights (the last is the intercept) from rows of features and values, row i
+    the next ``lengths[i]`` of both, by full-batch gradient steps with per-weight scaling;
+    deterministic.  A row's values add up to three times its weight of evidence, and the rest
+    of 1 is the prior's."""
+    n = len(lengths)
+    value = value.astype(np.float64)
+    owner = np.repeat(np.arange(n), lengths)
+    sure = np.bincount(owner, value, n) / 3
     rest = (1 - sure) * _logit(prior)
     used, index = np.unique(index, return_inverse=True)
     w, b = np.zeros(len(used)), 0.0
     scale, scale_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(owner, value * w[index], len(rows)) + b * sure + rest
+        z = np.bincount(owner, value * w[index], n) + b * sure + rest
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
         slope = (err * sure).mean()
-        g = np.bincount(index, value * err[owner], len(used)) / len(rows) + shrink * w
+        g = np.bincount(index, value * err[owner], len(used)) / n + shrink * w
         scale += g * g
         scale_b += slope ** 2
         w -= rate * g / np.sqrt(scale)
@@ -298,13 +297,16 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sample_rows(docs: DataFrame, share: float, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """pattern, features and values of the documents whose id hashes below ``share``."""
+    """order (a hash of the document), pattern, features and values of the documents whose
+    id hashes below ``share``."""
     stop = _stop_hashes()
 
     def rows(batches):
         import pyarrow as pa
         for batch in batches:
             pattern, feats, values = [], [], []
+            if not batch.num_rows:
+                continue
             for i, j, hashes, shapes, repeat, bounds, m in _views(batch.column("__t"), stop):
                 f = _features(hashes, shapes, repeat)
                 pattern.append(pattern_of(votes_of(m)))
@@ -314,13 +316,12 @@ def sample_rows(docs: DataFrame, share: float, doc_id: str = "doc_id", text: str
                     values.append((c / (b - a + PRIOR_WORDS)).astype(np.float32))
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in feats])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(pattern) if pattern else np.zeros(0, np.int64)),
-                pa.ListArray.from_arrays(at, pa.array(np.concatenate(feats) if feats else np.zeros(0, np.int32))),
-                pa.ListArray.from_arrays(at, pa.array(np.concatenate(values) if values else np.zeros(0, np.float32)))],
-                ["pattern", "features", "weights"])
+                batch.column("order"), pa.array(np.concatenate(pattern)), pa.ListArray.from_arrays(at, pa.array(np.concatenate(feats))),
+                pa.ListArray.from_arrays(at, pa.array(np.concatenate(values)))], ["order", "pattern", "features", "weights"])
 
-    return (docs.where(draw(seed, "sample", doc_id) < share).select(_spaced(text).alias("__t"))
-            .mapInArrow(rows, "pattern long, features array<int>, weights array<float>"))
+    return (docs.where(draw(seed, "sample", doc_id) < share)
+            .select(F.xxhash64(F.col(doc_id), F.col(text)).alias("order"), _spaced(text).alias("__t"))
+            .mapInArrow(rows, "order long, pattern long, features array<int>, weights array<float>"))
 
 
 @dataclass
@@ -361,12 +362,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return None
     votes, counts = votes_from(np.array([r["pattern"] for r in seen])), np.array([r["n"] for r in seen], np.float64)
     labels = fit_label_model(votes, counts)
-    rows = sample_rows(docs, sample / counts.sum(), doc_id, text, seed).limit(2 * sample).collect()
-    if not rows:  # so small a corpus that no id was drawn: take it whole
-        rows = sample_rows(docs, 2.0, doc_id, text, seed).limit(2 * sample).collect()
-    target = labels.posterior(votes_from(np.array([r["pattern"] for r in rows])))
-    rows = sorted(zip(rows, target), key=lambda x: (x[0]["features"], x[0]["weights"]))  # independent of the partitioning
-    weights = fit_scorer([(np.array(r["features"], np.int64), np.array(r["weights"]), t) for r, t in rows], labels.prior)
+    # at most 2 * sample rows, as Arrow arrays; the exchange after the limit makes it one pass
+    take = lambda share: sample_rows(docs, share, doc_id, text, seed).limit(2 * sample).repartition(1).toArrow()
+    rows = take(sample / counts.sum())
+    if not rows.num_rows:  # so small a corpus that no id was drawn: take it whole
+        rows = take(2.0)
+    rows = rows.sort_by("order").combine_chunks()  # independent of the partitioning
+    target = labels.posterior(votes_from(rows["pattern"].to_numpy()))
+    features, values = (rows[c].chunk(0) for c in ("features", "weights"))
+    weights = fit_scorer(features.flatten().to_numpy(), values.flatten().to_numpy(), features.value_lengths().to_numpy(), target, labels.prior)
     return Classifier(labels, weights)
 
 
