@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "line_dedup", "partition_ann", "quotes", "shard_tree", "packing", "zipwarc", "pivots", "ngram_join", "mixing")
+MODULES = ("quality", "line_dedup", "partition_ann", "quotes", "shard_tree", "packing", "zipwarc", "pivots", "ngram_join", "mixing",
+           "mask_search", "merkle", "swap_packing")
 
 
 def _modules():
