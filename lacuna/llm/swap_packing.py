@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,8 +38,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of one block: what a task packs at once.
 BLOCK = 16_384
-#: Words whose ids a task keeps, and characters of text it splits at once.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps, and characters of text it splits at once.
+CACHE_WORDS = 750_000
 CHUNK_CHARS = 1 << 20
 
 _ITEM = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -48,7 +49,9 @@ _BINS = f"bin bigint, fill int, items array<{_ITEM}>, offsets array<bigint>"
 class TokenBytes:
     """Token ids of texts as little-endian unsigned 32-bit bytes.  A byte-level BPE with this
     pre-tokeniser never merges across its words, so ids of words that were seen before are
-    looked up; texts that hold an added token are encoded whole."""
+    looked up.  Encoded whole are texts that hold an added token, or a character that the
+    tokenizer's Unicode tables put into another class than ``regex`` does (each character is
+    held against the tokenizer's own pre-tokeniser when it is first met)."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -59,28 +62,36 @@ class TokenBytes:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.met: set[str] = set()
+        self.odd: set[str] = set()
+
+    def _meet(self, texts: list[str]) -> None:
+        for c in set().union(*texts) - self.met:
+            probe = f"a{c}1 "
+            own = [m.span() for m in self.pattern.finditer(probe)]
+            if own != [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]:
+                self.odd.add(c)
+            self.met.add(c)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+        self._meet(texts)
+        whole = [any(a in t for a in self.added) or not self.odd.isdisjoint(t) for t in texts]
+        split = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
         self.known.update(zip(new, self._encode(new)))
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        return [self._encode([t])[0] if w else b"".join(map(self.known.__getitem__, words)) for t, words, w in zip(texts, split, whole)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, part, size = [], [], 0
         for t in texts:
-            if any(a in t for a in self.added):
-                out += self._part(part) + self._encode([t])
-                part, size = [], 0
-                continue
             part.append(t)
             size += len(t)
             if size >= CHUNK_CHARS:
@@ -89,6 +100,12 @@ class TokenBytes:
         return out + self._part(part)
 
 
+@lru_cache(maxsize=1)
+def token_bytes(vocabulary: str) -> TokenBytes:
+    """The encoder of this Python worker, whose known words serve its later tasks too."""
+    return TokenBytes(vocabulary)
+
+
 def piece_spans(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids; only the first may be shorter."""
     first = n % capacity or capacity
@@ -102,7 +119,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def run(batches):
         import pyarrow as pa
-        encode = TokenBytes(vocabulary)
+        encode = token_bytes(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             row, piece, start, length, crc = [], [], [], [], []

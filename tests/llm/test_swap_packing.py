@@ -89,6 +89,16 @@ def test_document_lengths_around_the_capacity(spark, encode):
     assert [S.piece_spans(n, 8) for n in (1, 8, 9, 16, 17)] == [[(0, 1)], [(0, 8)], [(0, 1), (1, 8)], [(0, 8), (8, 8)], [(0, 1), (1, 8), (9, 8)]]
 
 
+def test_ids_are_those_of_the_tokenizer(encode):
+    """Characters of every class, among them some that ``regex`` and the tokenizer class differently."""
+    rng = np.random.default_rng(2)
+    points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [0x10940, 0x1F600, 0xE0100]
+    texts = ["".join(map(chr, rng.choice(points, 40))) for _ in range(300)] + [f"a{chr(c)}1 {chr(c)} b" for c in points]
+    own = S.TokenBytes("byte_bpe_50k.json")
+    assert [list(np.frombuffer(b, "<u4")) + [2] for b in own(texts)] == [encode(t) for t in texts]
+    assert own.odd
+
+
 def least_bins(lengths, capacity):
     """Fewest bins by exhaustive search."""
     best = len(lengths)
