@@ -4,7 +4,7 @@ exact null counts per condition, determinism, validation, observed cells kept)."
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from lacuna.functions.hashing import first_k, hash_key
 from lacuna.operators.impute.simple import IMPUTERS
 from lacuna.operators.inject import Step, inject
