@@ -13,8 +13,9 @@ Pivots are picked on a sample of at most ``SAMPLE`` rows by farthest-first trave
 decide the speed alone.  Vectors that are null or hold null or non-finite components take
 no part, nor do rows without an id; of rows that repeat an id, the smallest vector counts;
 only vectors of equal length are compared; fewer than k candidates give them all; an empty
-table gives an empty result.  Scores that could pass 2**53 raise an error.  Other columns
-are not read.
+table gives an empty result.  Vectors so long that double precision would not hold their
+products are scored in integers, by themselves and as queries against all rows of their
+block; a score that passes 64 bits raises an error.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,34 +52,48 @@ def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _guard(v: np.ndarray) -> np.ndarray:
-    """Products and sums of these integers are exact in double precision."""
-    if v.size and float(np.abs(v).max()) ** 2 * v.shape[1] >= 2.0 ** 52:
-        raise OverflowError("vectors are too long for exact integer scores")
-    return v
+def _long(v: np.ndarray) -> np.ndarray:
+    """Rows whose products with others like them may not be exact in double precision."""
+    if not v.size:
+        return np.zeros(len(v), bool)
+    return np.abs(v.astype(np.float64)).max(axis=1) ** 2 * v.shape[1] >= 2.0 ** 52
+
+
+def exact_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of integer vectors as 64-bit integers."""
+    largest = [max((abs(int(x)) for x in (v.max(initial=0), v.min(initial=0))), default=0) for v in (rows, query)]
+    if largest[0] * largest[1] * len(query) < 1 << 63:
+        return rows @ query
+    scores = rows.astype(object) @ query.astype(object)
+    if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+        raise OverflowError("no exact integer scores: an inner product passes 64 bits")
+    return scores.astype(np.int64)
 
 
 def pivot_table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, v, dim, square (|v|^2), far (distances to the pivots of that dimension)."""
+    """vec_id, v, dim, square (|v|^2), far (distances to the pivots of that dimension), long."""
 
     def measure(batches):
         import pandas as pd
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                v = _guard(np.stack(part["v"]).astype(np.float64)) if dim else np.zeros((len(part), 0))
+                v = np.stack(part["v"]).astype(np.float64) if dim else np.zeros((len(part), 0))
                 square = (v * v).sum(axis=1)
                 p = pivots.get(dim, np.zeros((0, dim)))
                 d2 = square[:, None] - 2 * v @ p.T + (p * p).sum(axis=1)
                 yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "dim": int(dim), "square": square,
-                                    "far": list(np.sqrt(np.maximum(d2, 0)))})
+                                    "far": list(np.sqrt(np.maximum(d2, 0))), "long": _long(v)})
 
-    return rows.mapInPandas(measure, "vec_id long, v array<long>, dim int, square double, far array<double>")
+    return rows.mapInPandas(measure, "vec_id long, v array<long>, dim int, square double, far array<double>, long boolean")
 
 
-def search_block(q_id, q, q_sq, q_far, r_id, r, r_sq, r_far, floor, k: int):
+def search_block(q_id, q, q_sq, q_far, r_id, r, r_sq, r_far, floor, k: int, q_long=None, r_long=None):
     """(query_id, vec_id, score) of the k best of this block per query, and the number of
-    candidates evaluated."""
+    candidates evaluated.  ``q`` and ``r`` are integers; long rows have no bound."""
     out, evaluated = [], 0
+    q_long = np.zeros(len(q), bool) if q_long is None else q_long
+    r_long = np.zeros(len(r), bool) if r_long is None else r_long
+    r_double = r.astype(np.float64)
     for a in range(0, len(q), 64):
         low = np.zeros((len(q[a:a + 64]), len(r)))
         for p in range(r_far.shape[1]):
@@ -87,20 +102,24 @@ def search_block(q_id, q, q_sq, q_far, r_id, r, r_sq, r_far, floor, k: int):
         top = (r_sq[None] + q_sq[a:a + 64, None] - low * low) / 2 + 1e-6 * (r_sq[None] + q_sq[a:a + 64, None]) + 1e-6
         for i in range(len(low)):
             mine, bound = a + i, top[i].copy()
-            bound[r_id == q_id[mine]] = -np.inf
-            left = np.flatnonzero(bound >= floor[mine])  # ties with the threshold stay
+            bound[r_long | q_long[mine]] = np.inf
+            left = np.flatnonzero((bound >= floor[mine]) & (r_id != q_id[mine]))  # ties with the threshold stay
             left = left[np.argsort(-bound[left], kind="stable")]
-            ids, scores, kth = np.zeros(0, np.int64), np.zeros(0), floor[mine]
+            ids, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), floor[mine]
             for s in range(0, len(left), STEP):
                 part = left[s:s + STEP]
                 if bound[part[0]] < kth:
                     break
                 evaluated += len(part)
-                ids, scores = np.concatenate([ids, r_id[part]]), np.concatenate([scores, r[part] @ q[mine]])
-                keep = np.lexsort((ids, -scores))[:k]
+                if q_long[mine] or r_long[part].any():
+                    found = exact_products(r[part], q[mine])
+                else:
+                    found = (r_double[part] @ q[mine].astype(np.float64)).astype(np.int64)
+                ids, scores = np.concatenate([ids, r_id[part]]), np.concatenate([scores, found])
+                keep = np.lexsort((ids, np.invert(scores)))[:k]  # ~x falls as x grows, without overflow
                 ids, scores = ids[keep], scores[keep]
                 kth = max(kth, scores[-1]) if len(scores) == k else kth
-            out += [(int(q_id[mine]), int(x), int(round(v))) for x, v in zip(ids, scores)]
+            out += [(int(q_id[mine]), int(x), int(v)) for x, v in zip(ids, scores)]
     return out, evaluated
 
 
@@ -116,9 +135,10 @@ def topk_products(df: DataFrame, every: int = EVERY, k: int = K, vec_id: str = "
     known, chosen, starts = {}, {}, {}
     for dim in {len(x["v"]) for x in taken}:
         part = [x for x in taken if len(x["v"]) == dim]
-        known[dim] = _guard(np.array([x["v"] for x in part], np.float64).reshape(len(part), dim))
-        starts[dim] = np.array([x["vec_id"] for x in part])
-        chosen[dim] = farthest_first(known[dim], pivots) if dim else np.zeros((0, 0))
+        held = np.array([x["v"] for x in part], np.float64).reshape(len(part), dim)
+        short = ~_long(held)
+        known[dim], starts[dim] = held[short], np.array([x["vec_id"] for x in part])[short]
+        chosen[dim] = farthest_first(known[dim], pivots) if dim and short.any() else np.zeros((0, dim))
     whole = scratch.write(pivot_table(rows, chosen), "pivot-table")
 
     def run(key, r, q):
@@ -126,17 +146,18 @@ def topk_products(df: DataFrame, every: int = EVERY, k: int = K, vec_id: str = "
         dim = int(key[0])
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        as_matrix = lambda s, w: np.stack(s).astype(np.float64).reshape(len(s), -1) if w else np.zeros((len(s), 0))
+        as_matrix = lambda s, w, kind=np.float64: np.stack(s).astype(kind).reshape(len(s), -1) if w else np.zeros((len(s), 0), kind)
         q_id, r_id = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-        qv, rv = as_matrix(q["v"], dim), as_matrix(r["v"], dim)
+        qv, rv = as_matrix(q["v"], dim, np.int64), as_matrix(r["v"], dim, np.int64)
         width = len(q["far"].iloc[0])
         floor = np.full(len(q), -np.inf)
         if dim in known and len(known[dim]) > k:
-            s = qv @ known[dim].T
+            s = qv.astype(np.float64) @ known[dim].T
             s[q_id[:, None] == starts[dim][None]] = -np.inf
-            floor = np.partition(s, -k, axis=1)[:, -k]
+            floor = np.where(q["long"].to_numpy(), -np.inf, np.partition(s, -k, axis=1)[:, -k])
         out, _ = search_block(q_id, qv, q["square"].to_numpy(), as_matrix(q["far"], width), r_id, rv,
-                              r["square"].to_numpy(), as_matrix(r["far"], width), floor, k)
+                              r["square"].to_numpy(), as_matrix(r["far"], width), floor, k,
+                              q["long"].to_numpy(), r["long"].to_numpy())
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     queries = whole.where(F.col("vec_id") % every == 0)

@@ -87,10 +87,17 @@ def test_pivots_save_evaluations():
 def test_pivot_edges(spark):
     assert rows_of(P.topk_products(frame(spark, ODD))) == brute(ODD, 50, 5, product, False, False)
     assert rows_of(P.topk_products(frame(spark, []))) == []
+    few = [(i, [float(i), 1.0]) for i in range(0, 150, 50)]  # fewer candidates than k: never the query itself
+    assert rows_of(P.topk_products(frame(spark, few))) == brute(few, 50, 5, product, False, False)
     with pytest.raises(Exception, match="exact integer scores"):
         P.topk_products(frame(spark, [(0, [1e12]), (1, [1e12])])).collect()
 
 
+def test_long_vectors_are_scored_in_integers(spark):
+    rows = [(i, [float(i % 7), float(i % 5) - 2.0]) for i in range(120)] + [(200, [2.0 ** 22, 3.0]), (201, [2.0 ** 22 + 1, -5.0]), (250, [-(2.0 ** 20), 7.0])]
+    assert rows_of(P.topk_products(frame(spark, rows), sample=40)) == brute(rows, 50, 5, product, False, False)
+
+
 def recall(got, want):
     want = {(q, i) for q, _, i, _ in want}
     return len({(q, i) for q, _, i, _ in got} & want) / len(want)
