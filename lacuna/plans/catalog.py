@@ -75,6 +75,6 @@ def _load_all():
     global _LOADED
     if _LOADED:
         return
-    from . import (q_chained, q_experiment, q_graph, q_imputers, q_models, q_more,  # noqa: F401
+    from . import (q_chained, q_cleaning, q_experiment, q_graph, q_imputers, q_models, q_more,  # noqa: F401
                    q_neighbours, q_operators, q_reports)
     _LOADED = True
