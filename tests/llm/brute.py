@@ -99,7 +99,9 @@ def edits(a, b):
 
 
 def line_marks(rows, bits=3, similarity=0.8):
-    """{(doc_id, text): [kept, ...] per line} and {line: group} by comparing all lines."""
+    """{(doc_id, text): [kept, ...] per line} and {line: group} by comparing all lines.  With
+    ``bits`` the SimHashes of a pair may differ in so many and half of the words are shared;
+    with None the edit similarity alone decides."""
     home = {}
     for d, t in rows:
         t = t or ""
@@ -109,18 +111,37 @@ def line_marks(rows, bits=3, similarity=0.8):
                 at = (d is not None, d if d is not None else 0, signed(xx(t)), i)
                 home[n] = min(home.get(n, at), at)
     texts = sorted(home)
-    hashes = np.array([simhash(t) for t in texts], np.uint64)
     groups = Groups(len(texts))
+    size = np.array([len(t) for t in texts])
+    letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 32, minlength=32) for t in texts]).reshape(len(texts), 32)
+    pairs = np.array([np.bincount((c[:-1] * 31 + c[1:]) % 127, minlength=127) for t in texts for c in [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)]]).reshape(len(texts), 127)
+    hashes = np.array([simhash(t) if bits is not None else 0 for t in texts], np.uint64)
+    left = []
     for i in range(len(texts)):
-        apart = np.bitwise_count(hashes[i + 1:] ^ hashes[i])
-        for j in np.flatnonzero(apart <= bits) + i + 1:
+        longer = np.maximum(size[i + 1:], size[i])
+        most = (1 - similarity) * longer + 1e-9
+        d = letters[i + 1:] - letters[i]  # an edit changes one letter on a side at most
+        near = (np.abs(size[i + 1:] - size[i]) <= most) & (np.maximum(d.clip(0).sum(1), (-d).clip(0).sum(1)) <= most)
+        d = pairs[i + 1:] - pairs[i]  # and two pairs of letters
+        near &= np.maximum(d.clip(0).sum(1), (-d).clip(0).sum(1)) <= 2 * most
+        if bits is None:
+            left += [(i, int(j)) for j in np.flatnonzero(near) + i + 1]
+            continue
+        near &= np.bitwise_count(hashes[i + 1:] ^ hashes[i]) <= bits
+        for j in np.flatnonzero(near) + i + 1:
             a, b = texts[i], texts[j]
-            longer = max(len(a), len(b))
             wa, wb = set(a.split()), set(b.split())
             if 2 * len(wa & wb) < max(len(wa), len(wb)):
                 continue
-            if abs(len(a) - len(b)) <= (1 - similarity) * longer + 1e-9 and edits(a, b) <= (1 - similarity) * longer + 1e-9:
+            if edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
                 groups.join(i, int(j))
+    if left:
+        import duckdb
+        con = duckdb.connect()
+        con.execute("CREATE TABLE t AS SELECT unnest(?) AS i, unnest(?) AS j, unnest(?) AS x, unnest(?) AS y",
+                    [*map(list, zip(*left)), [texts[i] for i, _ in left], [texts[j] for _, j in left]])
+        for i, j in con.sql(f"SELECT i, j FROM t WHERE levenshtein(x, y) <= {1 - similarity} * greatest(length(x), length(y)) + 1e-9").fetchall():
+            groups.join(i, j)
     at = {t: groups.find(k) for k, t in enumerate(texts)}
     first = {}
     for t in texts:

@@ -21,7 +21,7 @@ def expected(name, spark, docs, rows):
         keep = Counter(tuple(r[c] for c in C.COLUMNS) for r in quality.classify(docs).where("score >= 0.5").collect())
         return keep
     if name == "line dedup":
-        marks, _ = B.line_marks([(r[0], r[1]) for r in rows])
+        marks, _ = B.line_marks([(r[0], r[1]) for r in rows], bits=None)
         out = []
         for d, t, lang, source, n in rows:
             flags = marks[d, t]
