@@ -8,8 +8,8 @@ A row's similarity to a validation row changes once, at its step, so the whole s
 one block pass: of the rows a task sees, only those can ever be among the k nearest whose
 larger similarity (before or after cleaning) reaches the k-th largest of the smaller ones;
 all others stay in the task.  The candidates that are left are ranked again at the steps at
-which one of their validation row's changes, no others.  A validation row that is certain
-stays so, as cleaning only removes possible worlds.
+which one of their validation row's changes, no others.  A validation row counts as certain
+from the first step on at which the test finds it so.
 """
 
 from __future__ import annotations

@@ -56,7 +56,8 @@ res AS MATERIALIZED (SELECT qid, t, count(*) FILTER (WHERE pred = c) = 1 AS sure
 
 
 @register("cleaning_series", f"""WITH {_SERIES},
-share AS (SELECT t AS step, avg(CASE WHEN sure THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS certain_share FROM res GROUP BY t)
+first AS (SELECT qid, min(CASE WHEN sure THEN t END) AS f FROM res GROUP BY qid),
+share AS (SELECT t AS step, count(CASE WHEN f <= t THEN 1 END) / CAST(count(*) AS DOUBLE) AS certain_share FROM first, (SELECT unnest(range({STEPS + 1})) AS t) GROUP BY t)
 SELECT CAST(step AS INT) AS step, CAST((SELECT count(DISTINCT vec_id) FROM r WHERE r.step > 0 AND r.step <= share.step) AS BIGINT) AS rows_cleaned, certain_share,
   coalesce(lag(certain_share) OVER (ORDER BY step), 0) < 1 AS needed FROM share""", doubles=("certain_share",),
           note="L24, L25: certain share over the rows cleaned, the twin tests every step anew")
