@@ -96,3 +96,63 @@ def replay(cells: DataFrame, initial: DataFrame, steps: int, seed: int, impute_f
         chosen_all = pick if chosen_all is None else chosen_all.unionByName(pick)
         imputed_all = imp if imputed_all is None else imputed_all.unionByName(imp)
     return chosen_all, imputed_all
+
+
+# ---- Q0, Q7, Q10: strategies replayed side by side ---------------------------------------------
+
+def global_gains(observed: DataFrame, col="col_id", value="value") -> DataFrame:
+    """A gain per (strategy, feature): the variance of what has been observed of it."""
+    return observed.groupBy("strategy", col).agg(F.var_pop(value).alias("gain"))
+
+
+def row_gains(observed: DataFrame, row="row_id", col="col_id", value="value") -> DataFrame:
+    """A gain per (strategy, row, feature): how far the feature's mean lies from the mean of
+    what the row has shown; rows that have shown nothing have none."""
+    means = observed.groupBy("strategy", col).agg(F.avg(value).alias("__m"))
+    shown = observed.groupBy("strategy", row).agg(F.avg(value).alias("__s"))
+    return means.join(shown, "strategy").select("strategy", row, col, F.abs(F.col("__m") - F.col("__s")).alias("gain"))
+
+
+def replay_strategies(cells: DataFrame, initial: DataFrame, steps: int, seed: int, impute_fn, strategies=("random", "global", "row"),
+                      row="row_id", col="col_id", value="value"):
+    """Q10: every strategy acquires one feature a row and step from the same start; gains are
+    ranked anew at each step from what its own replay has observed so far.  The state of all
+    strategies is one table, which a step writes once.  Ties and rows without a gain go by the
+    feature's name, after those with one.  Returns (choices, state, imputations): state has
+    the step at which a cell was observed (0: from the start), imputations (strategy, step,
+    row, col, imputed) every cell not observed after the step.  ``impute_fn`` fits on the
+    observed cells (strategy, row, col, value) and fills those that it is given."""
+    names = F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy")
+    every = cells.select(names, row, col, value)
+    state = cut_lineage(initial.select(names, row, col, value, F.lit(0).alias("step")))
+    chosen, imputed = None, None
+    for step in range(steps + 1):
+        if step:
+            left = every.join(state.select("strategy", row, col), ["strategy", row, col], "left_anti")
+            seen = state.drop("step")
+            tie = hash_key(seed, f"acq:{step - 1}", F.concat_ws(":", F.col(row).cast("string"), F.col(col).cast("string")))
+            ranked = (left.join(global_gains(seen, col, value).withColumnRenamed("gain", "__g"), ["strategy", col], "left")
+                      .join(row_gains(seen, row, col, value).withColumnRenamed("gain", "__r"), ["strategy", row, col], "left"))
+            gain = F.when(F.col("strategy") == "global", F.col("__g")).when(F.col("strategy") == "row", F.col("__r"))
+            order = [F.col("gain").desc_nulls_last(), F.when(F.col("strategy") == "random", tie), F.col(col)]
+            ranked = ranked.withColumn("gain", gain)
+            pick = (ranked.withColumn("__n", F.row_number().over(Window.partitionBy("strategy", row).orderBy(*order))).where("__n = 1")
+                    .select("strategy", row, col, value, F.lit(step).alias("step")))
+            state = cut_lineage(state.unionByName(pick))
+            chosen = state.where(F.col("step") > 0)
+        rest = every.join(state.select("strategy", row, col), ["strategy", row, col], "left_anti")
+        filled = impute_fn(state.drop("step"), rest).select("strategy", F.lit(step).alias("step"), row, col, "imputed")
+        imputed = filled if imputed is None else imputed.unionByName(filled)
+    return chosen if chosen is not None else state.limit(0), state, imputed
+
+
+def step_metrics(cells: DataFrame, imputed: DataFrame, row="row_id", col="col_id", value="value") -> DataFrame:
+    """Q7: root mean squared error per strategy, step and column, and for 'all' columns; cells
+    that were observed by then count as right."""
+    size = cells.groupBy(col).agg(F.count(value).alias("__n"))
+    error = (imputed.join(cells.select(row, col, F.col(value).alias("__truth")), [row, col])
+             .groupBy("strategy", "step", col).agg(F.sum((F.col("imputed") - F.col("__truth")) ** 2).alias("__e")))
+    grid = imputed.select("strategy", "step").distinct().join(size)  # strategies x steps x columns
+    per = grid.join(error, ["strategy", "step", col], "left").select("strategy", "step", F.col(col).cast("string").alias("column"), "__n", F.coalesce("__e", F.lit(0.0)).alias("__e"))
+    both = per.unionByName(per.withColumn("column", F.lit("all")))
+    return both.groupBy("strategy", "step", "column").agg(F.sqrt(F.sum("__e") / F.sum("__n")).alias("rmse"), F.sum("__n").alias("n"))

@@ -93,10 +93,10 @@ _K6 = ", ".join(R.DISPARITY_KEYS)
 
 
 @register("imputation_disparity", _w(
-    f"SELECT d.*, p.rmse_priv, d.rmse_dis - p.rmse_priv AS rmse_difference FROM "
-    f"(SELECT {_K6}, rmse AS rmse_dis FROM store WHERE subgroup = 'c_mktsegment_dis' AND column_type = 'numerical') d "
-    f"LEFT JOIN (SELECT {_K6}, rmse AS rmse_priv FROM store WHERE subgroup = 'c_mktsegment_priv' "
-    f"AND column_type = 'numerical') p USING ({_K6})"),
+    # one pass: a disadvantaged row stays without its counterpart
+    f"SELECT *, rmse_dis - rmse_priv AS rmse_difference FROM (SELECT {_K6}, max(CASE WHEN subgroup = 'c_mktsegment_dis' THEN rmse END) AS rmse_dis, "
+    f"max(CASE WHEN subgroup = 'c_mktsegment_priv' THEN rmse END) AS rmse_priv FROM store WHERE column_type = 'numerical' "
+    f"GROUP BY {_K6} HAVING count(CASE WHEN subgroup = 'c_mktsegment_dis' THEN 1 END) > 0)"),
     doubles=("rmse_dis", "rmse_priv", "rmse_difference"))
 def _a5(spark, sf):
     return R.disparity(report_store(spark, sf).where("column_type = 'numerical'"), "rmse", "c_mktsegment")
