@@ -4,8 +4,9 @@ Plan: queries and donors are dealt into blocks by the hash of their ids, and eve
 of queries meets every block of donors in a task of its own (``cogroup`` on both block
 numbers), which returns the k best donors per query of the block.  Memory is one pair of
 blocks; a side is copied once per block of the other side; nothing is collected, broadcast
-or refused, whatever the sizes.  A window over the k candidates per block finishes the
-exact answer.  Ordering ties break on the donor id.
+or refused, whatever the sizes.  Inside a task, boxes of donors that lie farther from a box
+of queries than its k-th best donor are skipped.  A window over the k candidates per block
+finishes the exact answer.  Ordering ties break on the donor id.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 DONOR_BLOCK = 16_384  # rows of a donor block
 QUERY_BLOCK = 8_192  # rows of a query block
+DONOR_BOX, QUERY_BOX = 128, 32  # rows of the boxes that are compared or skipped as a whole
 AT_ONCE = 512  # queries whose distances to a block are held at once
 
 
@@ -113,10 +115,11 @@ def knn_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str,
             ids, dids = q[qid].to_numpy(), d[did].to_numpy()
             qs = (vectors(q),) if metric == "euclidean" else _encode_rows(q, num_cols, cat_cols)
             ds = (vectors(d),) if metric == "euclidean" else _encode_rows(d, num_cols, cat_cols)
+            if metric != "euclidean":
+                bd, bi, _ = boxed_topk(*qs, *ds, dids, k, total_dims, cat_width)
+                return pd.DataFrame({"qid": np.repeat(ids, bd.shape[1]), "did": bi.reshape(-1), "dist": bd.reshape(-1)})
             for lo in range(0, len(q), AT_ONCE):
-                cut = [x[lo:lo + AT_ONCE] for x in qs]
-                dist = _euclid(*cut, *ds) if metric == "euclidean" else _pair_dist(*cut, *ds, total_dims, cat_width)
-                bd, bi = _best(dist, dids, k)
+                bd, bi = _best(_euclid(qs[0][lo:lo + AT_ONCE], *ds), dids, k)
                 out.append(pd.DataFrame({"qid": np.repeat(ids[lo:lo + AT_ONCE], bd.shape[1]), "did": bi.reshape(-1),
                                          "dist": bd.reshape(-1)}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "did": [], "dist": []}).astype(
@@ -130,6 +133,66 @@ def knn_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: str,
             .withColumnRenamed("qid", qid if qid != did else "qid").withColumnRenamed("did", did if qid != did else "did"))
 
 
+def _boxes(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of boxes of at most ``size`` rows: halves along the widest side."""
+    left, out = [np.arange(len(x))], []
+    while left:
+        rows = left.pop()
+        spread = np.ptp(x[rows], axis=0) if len(rows) > size else np.zeros(1)
+        if len(rows) <= size or spread.max() == 0:
+            out += [rows[i:i + size] for i in range(0, len(rows), size)]
+            continue
+        half = len(rows) // 2
+        rows = rows[np.argpartition(x[rows, int(np.argmax(spread))], half)]
+        left += [rows[:half], rows[half:]]
+    return out
+
+
+def boxed_topk(qn, qc, dn, dc, ids, k, total_dims, cat_width):
+    """``_best`` of all pairs of a block, and how many pairs were evaluated.  Queries that miss
+    the same coordinates are put into boxes, donors too; the nearest donor boxes give a
+    first k-th distance, and only boxes that are not farther are compared besides (a box's
+    distance over the numeric coordinates is a lower bound, as categories only add to it)."""
+    bd, bi = np.empty((len(qn), min(k, len(dn)))), np.empty((len(qn), min(k, len(dn))), ids.dtype)
+    evaluated, missing = 0, np.isnan(np.hstack([qn, qc]))
+    patterns, group = np.unique(missing, axis=0, return_inverse=True)
+    for g, gone in enumerate(patterns):
+        mine = np.flatnonzero(group.reshape(-1) == g)
+        cols = np.flatnonzero(~gone[:qn.shape[1]])
+        present = len(cols) + sum(w for w, m in zip(cat_width, gone[qn.shape[1]:]) if not m)
+        if len(cols):
+            boxes = _boxes(dn[:, cols], DONOR_BOX)
+            low, high = (np.array([f(dn[b][:, cols], axis=0) for b in boxes]) for f in (np.min, np.max))
+        for rows in _boxes(qn[mine][:, cols], QUERY_BOX) if len(cols) else [np.arange(i, min(i + AT_ONCE, len(mine))) for i in range(0, len(mine), AT_ONCE)]:
+            at = mine[rows]
+
+            def measure(some):
+                return _pair_dist(qn[at], qc[at], dn[some], dc[some], total_dims, cat_width)
+
+            if not len(cols):
+                bd[at], bi[at] = _best(measure(np.arange(len(dn))), ids, k)
+                evaluated += len(at) * len(dn)
+                continue
+            x = qn[at][:, None, cols]
+            gap = np.maximum(0, np.maximum(low - x, x - high))
+            away = np.sqrt((gap * gap).sum(axis=2) * (total_dims / present)) * (1 - 1e-9)  # query by box
+            near = np.argsort(away.min(axis=0), kind="stable")
+            enough = 1 + int(np.searchsorted(np.cumsum([len(boxes[b]) for b in near]), min(k, len(dn))))
+            first = np.union1d(near[:enough], away.argmin(axis=1))
+            some = np.concatenate([boxes[b] for b in first])
+            dist = measure(some)
+            kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if dist.shape[1] >= k else np.full(len(at), np.inf)
+            wanted = (away <= kth[:, None]).any(axis=0)  # at the same distance there may be a smaller id
+            wanted[first] = False
+            rest = [boxes[b] for b in np.flatnonzero(wanted)]
+            if rest:
+                more = np.concatenate(rest)
+                some, dist = np.concatenate([some, more]), np.hstack([dist, measure(more)])
+            bd[at], bi[at] = _best(dist, ids[some], k)
+            evaluated += dist.size
+    return bd, bi, evaluated
+
+
 # ---- I15 kNN imputation ------------------------------------------------------------------
 
 def knn_impute(df: DataFrame, train_part: str, numeric, categorical, k: int = 5, row_id: str = "row_id",
