@@ -61,6 +61,60 @@ def repair_table(df: DataFrame, repairs: dict, features, row_id: str = "row_id")
     return rows.withColumns(upd).select(row_id, "repair", *features)
 
 
+def _incomplete(columns):
+    from functools import reduce
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+
+
+def ranked_domain(df: DataFrame, columns) -> dict[str, list]:
+    """Every value of each column, the most frequent first (smaller values first on ties)."""
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]))
+    counts = df.select(stack.alias("x")).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["v"])):  # the categories of the columns
+        out[r["c"]].append(r["v"])
+    return out
+
+
+def repair_space(df: DataFrame, numeric, categorical, row_id: str = "row_id", learned: bool = True, seed: int = 0) -> DataFrame:
+    """I13, whole: the repairs that apply to the kinds of columns that miss values, as the long
+    table (row_id, repair, features).
+
+    Both kinds: every numeric with every categorical family.  Numeric ones alone: mean, least,
+    greatest, a quarter and three quarters of the way between them, and with ``learned`` the five
+    nearest rows and a chained decision tree.  Categorical ones alone: the most frequent value,
+    a value of its own ('dummy'), and every further value of the domain of the first column
+    that misses some, by frequency (a column with a smaller domain repeats its last).
+    No missing value gives an empty table."""
+    numeric, categorical = list(numeric), list(categorical)
+    feats = numeric + categorical
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first()
+    gone_num, gone_cat = [c for c in numeric if row[c]], [c for c in categorical if row[c]]
+    if not gone_num and not gone_cat:
+        return df.limit(0).select(row_id, F.lit("").alias("repair"), *feats)
+    if gone_num and gone_cat:
+        return repair_table(df, fit_repairs(df, numeric, categorical), feats, row_id)
+    if gone_cat:
+        domain = ranked_domain(df, categorical)
+        nth = lambda c, i: domain[c][min(i, len(domain[c]) - 1)] if domain[c] else None
+        repairs = {"mean": {c: nth(c, 0) for c in categorical}, "dummy": {c: "missing" for c in categorical}}
+        repairs |= {f"{i + 1}_frequent": {c: nth(c, i) for c in categorical} for i in range(1, len(domain[gone_cat[0]]))}
+        return repair_table(df, repairs, feats, row_id)
+    fitted = {name: SimpleImputer(how, p=p).fit(df, numeric, []).stats for name, how, p in
+              (("mean", "mean", None), ("min", "min", None), ("max", "max", None), ("25-grid", "grid", 25), ("75-grid", "grid", 75))}
+    out = repair_table(df, fitted, feats, row_id)
+    if learned:
+        from .iterative import IterativeImputer
+        from .neighbour import knn_impute
+        part = df.select(row_id, *feats).withColumn("part", F.lit("train"))
+        gone = part.where(_incomplete(feats)).select(F.col(row_id).alias("__id"))
+        for name, whole in (("knn", knn_impute(part, "train", numeric, categorical, 5, row_id)),
+                            ("dt_iterative", IterativeImputer("decision_tree", seed=seed, row_id=row_id).fit_transform(part, "train", numeric)[0])):
+            kept = whole.join(gone, F.col(row_id) == F.col("__id"), "left_semi")
+            out = out.unionByName(kept.select(row_id, F.lit(name).alias("repair"), *feats))
+    return out
+
+
 def grid_repairs(df: DataFrame, a: str, b: str, points: int = 4, row_id: str = "row_id") -> DataFrame:
     """For two numeric columns, candidate values = linspace(min, max, points)
     plus the mean of each; a row missing both gets every pair (bounded: (points+1)^2

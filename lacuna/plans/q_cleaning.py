@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_index, hash_key, sql_hash_index, sql_hash_key
 from ..operators.boosting import early_stopped_cv
 from ..operators.impute import cleaning as C
+from ..operators.impute.repairs import repair_space
 from ..operators.split import TRAIN, kfold
-from ..sources.tables import load, read
+from ..sources.tables import DATASETS, load, read
 from .catalog import register
-from .experiment import impute, prepare_parts
+from .experiment import impute, prepare_parts, sql_prepare_parts
 from .q_neighbours import _CERTAIN, _emb_split, K_CLASSIFY, SEED
 
 STEPS = 10
+ORD = DATASETS["orders"]
+ORD_FEATS = [*ORD["numeric"], *ORD["categorical"]]
 
 
 def _space(spark, sf):
@@ -152,3 +155,51 @@ def _l4(spark, sf):
 @register("boosting_losses", None, note="L4: held-out loss of every round")
 def _l4_losses(spark, sf):
     return _boosted(spark, sf)[0]
+
+
+# ---- I13: numeric and categorical branches -----------------------------------------------------------
+
+_DAMAGED = sql_prepare_parts("orders", ORD_FEATS, "exp1_mcar3", SEED, ORD["test_fraction"])
+_TRAIN_SQL = f"(SELECT * FROM parts WHERE part = '{TRAIN}')"
+
+
+def _damaged(spark, sf):
+    spec = load(spark, sf, "orders")
+    return spec, prepare_parts(spec, "exp1_mcar3", SEED).where(F.col("part") == TRAIN)
+
+
+def _numeric_sql():
+    num = ORD["numeric"]
+    fills = {"mean": "avg({0})", "min": "min({0})", "max": "max({0})", "25-grid": "min({0}) + (max({0}) - min({0})) * CAST(0.25 AS DOUBLE)",
+             "75-grid": "min({0}) + (max({0}) - min({0})) * CAST(0.75 AS DOUBLE)"}
+    arms = [f"SELECT row_id, '{n}' AS repair, {', '.join(f'coalesce({c}, (SELECT {e.format(c)} FROM {_TRAIN_SQL})) AS {c}' for c in num)} "
+            f"FROM {_TRAIN_SQL} WHERE {' OR '.join(f'{c} IS NULL' for c in num)}" for n, e in fills.items()]
+    return f"WITH parts AS MATERIALIZED ({_DAMAGED}) {' UNION ALL '.join(arms)}"
+
+
+@register("repair_space_numeric", _numeric_sql(), doubles=tuple(ORD["numeric"]), note="I13: numeric columns alone, statistics")
+def _i13_numeric(spark, sf):
+    spec, df = _damaged(spark, sf)
+    return repair_space(df, spec.numeric, [], learned=False)
+
+
+@register("repair_space_learned", None, note="I13: numeric columns alone, with nearest rows and a chained tree")
+def _i13_learned(spark, sf):
+    spec, df = _damaged(spark, sf)
+    return repair_space(df, spec.numeric, [], seed=SEED)
+
+
+def _categorical_sql():
+    first, other = ORD["categorical"]
+    rank = lambda c: (f"SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) AS r, count(*) OVER () AS m FROM {_TRAIN_SQL} "
+                      f"WHERE {c} IS NOT NULL GROUP BY 1")
+    return f"""WITH parts AS MATERIALIZED ({_DAMAGED}), a AS MATERIALIZED ({rank(first)}), b AS MATERIALIZED ({rank(other)}),
+fill AS (SELECT CASE WHEN a.r = 1 THEN 'mean' ELSE a.r || '_frequent' END AS repair, a.v AS x, b.v AS y FROM a JOIN b ON b.r = least(a.r, b.m)
+  UNION ALL SELECT 'dummy', 'missing', 'missing')
+SELECT row_id, repair, coalesce({first}, x) AS {first}, coalesce({other}, y) AS {other} FROM {_TRAIN_SQL}, fill WHERE {first} IS NULL OR {other} IS NULL"""
+
+
+@register("repair_space_categorical", _categorical_sql(), note="I13: categorical columns alone, every value of the domain by frequency")
+def _i13_categorical(spark, sf):
+    spec, df = _damaged(spark, sf)
+    return repair_space(df, [], spec.categorical)

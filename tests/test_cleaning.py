@@ -164,3 +164,23 @@ def test_early_stopped_boosting(spark):
     assert chosen == {min(mean, key=lambda s: mean[s])}
     assert model.getNumTrees == next(r["rounds"] for r in rows if r["chosen"])
     assert model.transform(feats.transform(df)).where(F.col("prediction") == F.col("label")).count() > 140
+
+
+def test_repair_spaces_by_kind(spark):
+    from lacuna.operators.impute.repairs import repair_space
+    rows = [(i, None if i % 4 == 1 else float(i), None if i % 5 == 2 else float(-i), None if i % 3 == 0 else "uuuvvw"[i % 6], "pq"[i % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id bigint, a double, b double, s string, t string")
+    names = lambda out: {r[0] for r in out.select("repair").distinct().collect()}
+    num = repair_space(df, ["a", "b"], ["t"])
+    assert names(num) == {"mean", "min", "max", "25-grid", "75-grid", "knn", "dt_iterative"}
+    gone = {r[0] for r in rows if None in r[1:3]}
+    assert num.count() == 7 * len(gone) and num.where("a IS NULL OR b IS NULL").count() == 0
+    seen = [r[1] for r in rows if r[1] is not None]
+    got = {(r["row_id"], r["repair"]): r["a"] for r in num.collect()}
+    assert got[1, "25-grid"] == min(seen) + (max(seen) - min(seen)) * 0.25 and got[1, "max"] == max(seen) and got[2, "min"] == 2.0
+    cat = {(r["row_id"], r["repair"]): r["s"] for r in repair_space(df, [], ["s", "t"]).collect()}
+    values = Counter(r[3] for r in rows if r[3])
+    ranked = sorted(values, key=lambda v: (-values[v], v))
+    assert [cat[0, n] for n in ["mean", *[f"{i}_frequent" for i in range(2, len(ranked) + 1)]]] == ranked and cat[0, "dummy"] == "missing"
+    assert len(names(repair_space(df, ["a", "b"], ["s", "t"]))) == 6
+    assert repair_space(df, [], ["t"]).count() == 0
