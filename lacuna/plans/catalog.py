@@ -76,5 +76,5 @@ def _load_all():
     if _LOADED:
         return
     from . import (q_chained, q_cleaning, q_experiment, q_graph, q_imputers, q_models, q_more,  # noqa: F401
-                   q_neighbours, q_operators, q_reports, q_runner, q_tables)
+                   q_neighbours, q_operators, q_reports, q_runner, q_steps, q_tables)
     _LOADED = True
