@@ -146,41 +146,6 @@ def numeric_kl(cells: DataFrame, grid: int = 1000) -> DataFrame:
             .withColumnRenamed("pred", "kl_divergence_pred").withColumnRenamed("total", "kl_divergence_total"))
 
 
-# ---- numpy reference for tests ---------------------------------------------------
-
-def kde_kl_reference(true: np.ndarray, pred: np.ndarray, grid: int = 1000):
-    """Plain numpy version of the same definition (for brute-force checks)."""
-    true = np.asarray(true, float)
-    pred = np.asarray(pred, float)
-    mu, sd = true.mean(), true.std()
-    s = sd if sd != 0 else 1.0
-    ts, ps = (true - mu) / s, (pred - mu) / s
-    if len(true) <= 2:
-        return None
-    ut, up = len(np.unique(true)), len(np.unique(pred))
-    lo, hi = min(ts.min(), ps.min()), max(ts.max(), ps.max())
-
-    def kde(v, x):
-        h = v.std(ddof=1) * len(v) ** -0.2
-        d = (x[None, :] - v[:, None]) / h
-        return np.exp(-0.5 * d * d).sum(axis=0) / (len(v) * h * SQRT2PI)
-
-    if up == 1 and ut == 1:
-        return 0.0 if pred[0] == true[0] else 100.0
-    if up == 1:
-        x = np.append(np.linspace(lo, hi, grid - 1), ps[0])
-        P, Q = kde(ts, x), np.where(x == ps[0], 1.0, ABSENT)
-    elif ut == 1:
-        x = np.append(np.linspace(lo, hi, grid - 1), ts[0])
-        P, Q = np.where(x == ts[0], 1.0, ABSENT), kde(ps, x)
-    else:
-        x = np.linspace(lo, hi, grid)
-        P, Q = kde(ts, x), kde(ps, x)
-        Q[Q == 0] = ABSENT
-    P, Q = P / P.sum(), Q / Q.sum()
-    return float(np.sum(P * np.log(P / Q)))
-
-
 # ---- SQL twin (brute force: cells x grid join; fine at oracle sizes) ---------------
 
 def sql_numeric_kl(cells_sql: str, grid: int = 1000) -> str:

@@ -136,7 +136,8 @@ BASE_SQL = {
 
 def load(spark: SparkSession, sf_dir: str, name: str, where=None, subsample: int | None = None,
          seed: int = 42) -> TableSpec:
-    """S1 registry lookup; S2 ``where`` is pushed to the scan; S3 exact-k subsample."""
+    """S1 registry lookup; S2 ``where``, applied to the joined rows after NaN counts as null; S3
+    exact-k subsample."""
     if name not in _BUILDERS:
         raise KeyError(f"unknown dataset {name!r}; known: {sorted(_BUILDERS)}")
     df = _BUILDERS[name](spark, sf_dir)
