@@ -5,7 +5,7 @@ in which every record is a gzip member of its own, and ``indexes/index.cdxj``, w
 each record's offset and length inside the first.  The reader never extracts a member: it
 finds the end-of-central-directory record (the ZIP64 one where the archive has it), parses
 the central directory, turns each stored member into a byte range of the file, reads the
-index, and then range-reads single records in as many tasks as there are ranges.
+index, and then range-reads single records, in a task for every 16 MB of them.
 
 Writing tasks give each archive a name of its own; only archives named in the committed
 manifest are read, so a lost executor or a repeated task leaves at most an orphan file.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -285,18 +286,24 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
             f.close()
 
     part = F.floor(F.col("start") / RANGE_BYTES)
-    spread = ranges.repartition("path", part).sortWithinPartitions("path", "start")
+    # the rows are small whatever the ranges hold, so the number of tasks comes from the bytes behind them
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, math.ceil(total / RANGE_BYTES))
+    spread = ranges.repartition(tasks, "path", part).sortWithinPartitions("path", "start")
     return spread.mapInPandas(read, schema)
 
 
 def op7_zip_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex[:16]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex[:16]}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    # tasks need the file system's name too: a bare path would be each executor's own disk
+    folder = fs.makeQualified(at).toString()
     manifest = scratch.write(write_archives(with_references(table(spark, sf_dir, "pages")), folder), "manifest")
-    found = scratch.write(read_records(read_index(manifest), payloads=False).drop("payload", "url"), "records")
+    index = scratch.write(read_index(manifest), "index")
+    found = scratch.write(read_records(index, payloads=False).drop("payload", "url"), "records")
+    scratch.drop("index")
     # a revisit has the length of the record that it refers to
     whole = found.where("record_type = 'response' and page_id is not null").groupBy(
         F.col("page_id").alias("p"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("bytes"))
