@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators.score.cells import score
+from lacuna.operators.score import kl
+from lacuna.operators.score.cells import cells, score
 from lacuna.operators.score.kl import ABSENT, SQRT2PI
 
 
@@ -96,6 +97,23 @@ def test_numeric_kl_matches_numpy_brute_force(spark, case):
         assert r.kl_divergence_total == pytest.approx(ref, rel=1e-9, abs=1e-12)
 
 
+@pytest.mark.parametrize("narrow", [False, True])
+def test_density_work_follows_cells_not_values(spark, narrow):
+    """20,000 different values a side: the rows evaluated on the grid are cells, and the
+    result is that of every value; also where the imputed side's density is zero."""
+    rng = np.random.default_rng(11)
+    t = rng.normal(10, 3, 20_000)
+    p = rng.normal(10, 0.05, 20_000) if narrow else np.concatenate([t[:10_000], rng.exponential(2, 10_000)])
+    df = _table(spark, [("p", "A", float(a), float(b), True, "u", "u", False) for a, b in zip(t, p)]).repartition(4)
+    scoped = kl._scoped(cells(df, ["x"], {"seg": "A"}, "double").where("subgroup = 'overall'"))
+    per_side = kl.density_cells(scoped, kl._group_stats(scoped, 1000)).groupBy("gid", "side").count().collect()
+    assert len(per_side) == 4 and all(r["count"] < 2_500 for r in per_side)
+    r = score(df, ["x"], [], {"seg": "A"}).where("subgroup = 'overall'").first()
+    ref = kde_kl_reference(t, p)
+    assert r.kl_divergence_pred == pytest.approx(ref, rel=1e-9)
+    assert r.kl_divergence_total == pytest.approx(ref, rel=1e-9)
+
+
 def test_subgroup_membership(spark):
     from lacuna.operators.score.groups import membership
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "s string, r string")
