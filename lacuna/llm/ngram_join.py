@@ -231,6 +231,18 @@ def _verify(threshold: float):
 
 # ---- the join ---------------------------------------------------------------------------
 
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """pair, key, block: every class once for each block that shares a band with it, its own
+    too.  A band's blocks (one for up to ``BLOCK_ROWS`` classes) are a list, so the join by
+    band keeps the rows of ``placed`` (band, key, block), and the lists of a class's bands
+    become one before they are spread out."""
+    others = placed.groupBy(F.col("band").alias("b")).agg(F.collect_set("block").alias("others"))
+    met = (placed.join(others, F.col("band") == F.col("b")).groupBy("key", "block")
+           .agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")))
+    pair = F.concat_ws(" ", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select("key", "block", F.explode("others").alias("other")).select(pair.alias("pair"), "key", "block")
+
+
 def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
                    max_hashes: int = MAX_HASHES, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (of the normalised text), class_id (smallest id
@@ -262,11 +274,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     block = F.concat_ws("/", F.col("home.band").cast("string"), F.pmod(F.xxhash64("key"), parts).cast("string"))
     blocks = scratch.write(sets.join(weight, "home").select("key", block.alias("block")), "blocks")
     placed = scratch.write(member.select("band", "key").join(blocks, "key"), "placed")
-    other = placed.select(F.col("band").alias("b"), F.col("block").alias("other")).distinct()
-    pair = F.concat_ws(" ", F.least("block", "other"), F.greatest("block", "other"))
-    tasks = (placed.join(other, F.col("band") == F.col("b"))
-             .select(pair.alias("pair"), "key", "block").distinct())
-    dealt = (tasks.join(sets.select("key", "bands", "grams"), "key")
+    dealt = (block_pairs(placed).join(sets.select("key", "bands", "grams"), "key")
              .repartition("pair").sortWithinPartitions("pair"))
     links = scratch.write(dealt.mapInArrow(_verify(threshold), "key string, root string, links long"), "links")
 

@@ -56,6 +56,25 @@ def test_large_near_group_in_blocks(spark, docs_of, monkeypatch, rows):
     assert all(a[4] <= b[4] for a, b in zip(out, want))
 
 
+def test_join_by_band_keeps_the_rows_of_a_large_group(spark):
+    """200 classes with 8 common bands in 10 blocks: the join of bands makes a row for each
+    row that it reads, and the pairs are those of joining all of them."""
+    rows = [(b, f"k{k}", f"{k % 10}/0") for b in range(8) for k in range(200)] + [(100, "k1", "1/0"), (100, "x", "9/1"), (101, "x", "9/1")]
+    placed = spark.createDataFrame(rows, "band long, key string, block string")
+    pairs = J.block_pairs(placed)
+    want = {(" ".join(sorted((block, other))), key, block) for b, key, block in rows for a, _, other in rows if a == b}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+    todo, made = [pairs._jdf.queryExecution().executedPlan().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+    assert made == [len(rows)]
+
+
 def test_deduplicate_keeps_one_row_a_group(spark, docs_of):
     base = " ".join(f"t{i}" for i in range(40))
     rows = [(5, base), (3, base + " z"), (3, base + " z"), (9, "other words here"), (None, ""), (2, None), (4, "Other words, here!")]
