@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,3 +152,17 @@ def test_a_step_that_no_swap_improves_is_the_end():
     once = S.swap_search(S.best_fit_decreasing(lengths.tolist(), 1024), lengths, 1024)
     again = S.swap_search([list(b) for b in once], lengths, 1024)
     assert squares(once, lengths) == squares(again, lengths)
+
+
+def test_words_go_straight_to_the_merges(monkeypatch):
+    """Ids of unseen words equal the tokenizer's own, without a whole encoding for each."""
+    coder = S.TokenBytes(S.VOCABULARY)
+    rng = random.Random(4)
+    signs = [chr(p) for p in (*range(0x20, 0x250), 0x3B1, 0x416, 0x4E2D, 0x1F600, 0x0A)]
+    texts = ["", "Straße naïve d'été, 42 x's\n\n  end ", *("".join(rng.choices(signs + [" "] * 200, k=300)) for _ in range(200))]
+    want = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder(texts) == want
+    calls = []
+    monkeypatch.setattr(coder, "_encode", lambda t: calls.append(t))
+    coder(["unseenword otherunseen 98765 änderung"])
+    assert not calls and coder._is_byte_level()
