@@ -98,6 +98,57 @@ def _euclid(qm, dm, budget: float = 2e7):
     return out
 
 
+def _pair_euclid(qm, dm, i, j, budget: int = 2_000_000):
+    """:func:`_euclid` of the pairs (row i of ``qm``, row j of ``dm``) alone."""
+    out, step = np.empty(len(i)), max(1, budget // max(1, qm.shape[1]))
+    for lo in range(0, len(i), step):
+        diff = qm[i[lo:lo + step]] - dm[j[lo:lo + step]]
+        out[lo:lo + step] = np.sqrt((diff * diff).sum(axis=1))
+    return out
+
+
+def _squares(qm, dm):
+    """Squared distances by a matrix product, and twice how far those of a query may lie from
+    exact ones (1 / (1 + distance) included, which rounds near distances to one value): who is
+    farther by more than that is farther.  Vectors that are not finite rule nothing out."""
+    q2, d2 = (qm * qm).sum(axis=1), (dm * dm).sum(axis=1)
+    slack = 8 * (qm.shape[1] + 8) * np.finfo(float).eps * (1 + np.sqrt(q2) + np.sqrt(d2.max())) ** 2
+    if not np.isfinite(slack).all():
+        return np.zeros((len(qm), len(dm))), np.full((len(qm), 1), np.inf)
+    squares = qm @ dm.T
+    squares *= -2
+    squares += q2[:, None]
+    squares += d2
+    return squares, slack[:, None]
+
+
+def _kth(x, k):
+    """The k-th smallest of each row (the last, if it has fewer)."""
+    k = min(k, x.shape[1])
+    return np.partition(x, k - 1, axis=1)[:, k - 1:k]
+
+
+def vector_topk(qm, dm, ids, k):
+    """``_best`` of all pairs of vectors; exact distances of those only that a matrix product
+    leaves among the k nearest."""
+    squares, slack = _squares(qm, dm)
+    i, j = np.nonzero(squares <= _kth(squares, k) + slack)
+    some, at = np.unique(j, return_inverse=True)
+    d = np.full((len(qm), len(some)), np.inf)
+    d[i, at] = _pair_euclid(qm, dm, i, j)
+    return _best(d, ids[some], k)
+
+
+def repair_extremes(qm, dm, start, i, j):
+    """The least and the greatest similarity of query i to the repairs of row j (which begin at
+    ``start[j]`` in ``dm``), and the similarities of all those pairs with the first of each."""
+    sizes = np.diff(np.append(start, len(dm)))[j]
+    first = np.cumsum(sizes) - sizes
+    rows = np.arange(sizes.sum()) - np.repeat(first - start[j], sizes)
+    sim = 1.0 / (1.0 + _pair_euclid(qm, dm, np.repeat(i, sizes), rows))
+    return np.minimum.reduceat(sim, first), np.maximum.reduceat(sim, first), sim, first
+
+
 def _best(d: np.ndarray, ids: np.ndarray, k: int):
     """The k smallest distances per row with their ids, ordered by (distance, id)."""
     k = min(k, d.shape[1])
@@ -138,7 +189,7 @@ def _vector_topk(queries: DataFrame, donors: DataFrame, k: int, qid: str, did: s
         if len(q) and len(d):
             ids, dids, qm, dm = q[qid].to_numpy(), d[did].to_numpy(), vectors(q), vectors(d)
             for lo in range(0, len(q), AT_ONCE):
-                bd, bi = _best(_euclid(qm[lo:lo + AT_ONCE], dm), dids, k)
+                bd, bi = vector_topk(qm[lo:lo + AT_ONCE], dm, dids, k)
                 out.append(pd.DataFrame({"qid": np.repeat(ids[lo:lo + AT_ONCE], bd.shape[1]), "did": bi.reshape(-1),
                                          "dist": bd.reshape(-1)}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "did": [], "dist": []}).astype(
@@ -408,10 +459,15 @@ def certain_predictions(repairs: DataFrame, val: DataFrame, k: int, id_col: str,
         qm = np.stack(q[vec_col].apply(lambda a: np.asarray(a, dtype=float)).to_numpy())
         ids, out = q["qid"].to_numpy(), []
         for lo in range(0, len(q), AT_ONCE):
-            sim = 1.0 / (1.0 + _euclid(qm[lo:lo + AT_ONCE], dm))
-            low, high = np.minimum.reduceat(sim, start, axis=1), np.maximum.reduceat(sim, start, axis=1)
+            part = qm[lo:lo + AT_ONCE]
+            squares, slack = _squares(part, dm)
+            near, far = np.minimum.reduceat(squares, start, axis=1), np.maximum.reduceat(squares, start, axis=1)
+            i, j = np.nonzero(near <= _kth(far, k) + slack)  # only these can be among the k of a class
+            some, at = np.unique(j, return_inverse=True)
+            low, high = np.full((2, len(part), len(some)), -np.inf)
+            low[i, at], high[i, at], *_ = repair_extremes(part, dm, start, i, j)
             for c in classes:
-                bd, bi = _best(-np.where(rl == c, high, low), np.arange(len(rid)), k)
+                bd, bi = _best(-np.where(rl[some] == c, high, low), some, k)
                 out.append(pd.DataFrame({"qid": np.repeat(ids[lo:lo + AT_ONCE], bd.shape[1]), "c": c,
                                          "rid": rid[bi.reshape(-1)], "rlabel": rl[bi.reshape(-1)], "s": -bd.reshape(-1)}))
         return pd.concat(out)[cols]
