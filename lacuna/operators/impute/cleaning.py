@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ...functions.hashing import hash_index, hash_key
 from ...session import write_barrier
-from .neighbour import AT_ONCE, _best, _euclid, _meet
+from .neighbour import AT_ONCE, _best, _kth, _meet, _squares, repair_extremes
 
 
 # ---- L21, L28 ------------------------------------------------------------------------------------
@@ -70,16 +70,22 @@ def _candidates(repairs: DataFrame, val: DataFrame, k: int, steps: int, seed: in
             ids = q["qid"].to_numpy()
             step = np.where(np.diff(np.append(start, len(r))) > 1, step, 0).astype(np.int32)
             for lo in range(0, len(q), AT_ONCE):
-                sim = 1.0 / (1.0 + _euclid(qm[lo:lo + AT_ONCE], dm))
-                low, high, true = np.minimum.reduceat(sim, start, axis=1), np.maximum.reduceat(sim, start, axis=1), sim[:, own]
+                part, at = qm[lo:lo + AT_ONCE], min(k, len(rid))
+                squares, slack = _squares(part, dm)
+                near, far = np.minimum.reduceat(squares, start, axis=1), np.maximum.reduceat(squares, start, axis=1)
+                i, j = np.nonzero(near <= _kth(far, k) + slack)  # in no world can others be among the k
+                some, col = np.unique(j, return_inverse=True)
+                low, high, true = np.full((3, len(part), len(some)), -np.inf)
+                low[i, col], high[i, col], sim, begin = repair_extremes(part, dm, start, i, j)
+                true[i, col] = sim[begin + own[j] - start[j]]
                 keep = np.zeros(low.shape, bool)
                 for c in np.unique(rl).tolist() + [None]:  # None: a class that no row of the block has
-                    first = np.where(rl == c, high, low)
-                    at = min(k, len(rid))
+                    first = np.where(rl[some] == c, high, low)
                     floor = -np.partition(-np.minimum(first, true), at - 1, axis=1)[:, at - 1]
                     keep |= np.maximum(first, true) >= floor[:, None]
-                i, j = np.nonzero(keep)
-                out.append(pd.DataFrame({"qid": ids[lo + i], "rid": rid[j], "rlabel": rl[j], "low": low[i, j], "high": high[i, j], "true": true[i, j], "step": step[j]}))
+                i, col = np.nonzero(keep)
+                j, low, high, true = some[col], low[i, col], high[i, col], true[i, col]
+                out.append(pd.DataFrame({"qid": ids[lo + i], "rid": rid[j], "rlabel": rl[j], "low": low, "high": high, "true": true, "step": step[j]}))
         return pd.concat(out[1:] or out)[names]
 
     types = dict(repairs.dtypes)
