@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 
 from ...functions.hashing import hash_index, hash_key
 from ...session import write_barrier
-from .neighbour import AT_ONCE, _best, _kth, _meet, _squares, repair_extremes
+from ..encode import OrdinalCodes
+from .neighbour import AT_ONCE, _kth, _meet, _squares, knn_topk, repair_extremes
 
 
 # ---- L21, L28 ------------------------------------------------------------------------------------
@@ -152,45 +153,23 @@ def majority_vote(df: DataFrame, by: list[str], label: str, order: str | None =
 
 def drop_column_neighbours(df: DataFrame, numeric, categorical, k: int, id_col: str, fold: str) -> DataFrame:
     """(qid, variant, did, dist, rank): the k nearest rows of other folds, by all columns
-    (variant '') and by all but each.  Numeric columns must be scaled; categories that differ
-    add 2.  A task keeps every column's squared terms apart, so one pass over the blocks gives
-    all variants: what is left of a column and what is right of it are running sums."""
+    (variant '') and by all but each.  Numeric columns must be scaled (rows that lack one are
+    compared where it is left out); categories that differ add 2, and null is one of them.
+    Every variant is a query that misses a coordinate, so ``knn_topk`` finds them all at once
+    in its cells of neighbouring rows."""
     numeric, categorical = list(numeric), list(categorical)
     names = numeric + categorical
-
-    def terms(q, d, c):
-        a, b = q[c].to_numpy(), d[c].to_numpy()
-        return np.subtract.outer(a.astype(float), b.astype(float)) ** 2 if c in numeric else np.not_equal.outer(a, b) * 2.0
-
-    def block(q, d):
-        out = [pd.DataFrame({"qid": q["qid"][:0], "variant": [], "did": d["did"][:0], "dist": []}).astype({"variant": str, "dist": float})]
-        if len(q) and len(d):
-            for lo in range(0, len(q), AT_ONCE):
-                part = q.iloc[lo:lo + AT_ONCE]
-                same = np.equal.outer(part["__fold"].to_numpy(), d["__fold"].to_numpy())
-                t = [terms(part, d, c) for c in names]
-                right = [np.zeros(same.shape)]
-                for x in t[:0:-1]:
-                    right.append(right[-1] + x)
-                right.reverse()
-                left = np.zeros(same.shape)
-                for c, x, rest in zip(names, t, right):
-                    out.append(nearest(part, d, left + rest, same, c))
-                    left = left + x
-                out.append(nearest(part, d, left, same, ""))
-        return pd.concat(out[1:] or out)
-
-    def nearest(q, d, squares, same, variant):
-        dist, ids = _best(np.where(same, np.inf, np.sqrt(squares)), d["did"].to_numpy(), k)
-        got = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), dist.shape[1]), "variant": variant, "did": ids.reshape(-1), "dist": dist.reshape(-1)})
-        return got[np.isfinite(got["dist"])]
-
-    kind = dict(df.dtypes)[id_col]
-    q = df.select(F.col(id_col).alias("qid"), F.col(fold).alias("__fold"), *names)
-    d = df.select(F.col(id_col).alias("did"), F.col(fold).alias("__fold"), *names)
-    near = _meet(q, d, "qid", "did").applyInPandas(block, f"qid {kind}, variant string, did {kind}, dist double")
-    w = Window.partitionBy("qid", "variant").orderBy("dist", "did")  # k candidates a block
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    codes = OrdinalCodes.fit(df, categorical)
+    none = {c: F.lit(float(len(codes.labels.get(c, [])))) for c in categorical}
+    rows = codes.encode(df.select(id_col, fold, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in numeric], *categorical))
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), none[c]) for c in categorical})
+    each = rows.withColumn("variant", F.explode(F.array(*[F.lit(c) for c in [*names, ""]])))
+    for c in numeric:
+        each = each.where((F.col("variant") == c) | F.col(c).isNotNull())
+    queries = each.withColumns({c: F.when(F.col("variant") != c, F.col(c)) for c in names}).withColumn("__q", F.struct(F.col(id_col).alias("qid"), "variant"))
+    near = knn_topk(queries, rows.withColumnRenamed(id_col, "did"), k, "__q", "did", numeric, categorical, scaled=False, apart=fold)
+    # without any column left all rows are equally near
+    return near.select("__q.qid", "__q.variant", "did", F.when(F.col("dist") == float("inf"), 0.0).otherwise(F.col("dist")).alias("dist"), "rank")
 
 
 def drop_column_importance(df: DataFrame, numeric, categorical, k: int, id_col: str, label: str, fold: str) -> DataFrame:
