@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ...session import write_barrier
+from ...session import drop_path, write_barrier
 from .cells import Cells, scale
 
 DONOR_BLOCK = 16_384  # rows of a donor block
@@ -215,7 +215,7 @@ def _cell_topk(queries, donors, k, qid, did, num_cols, cat_cols, cat_width, carr
         values = sorted(r[0] for r in queries.select(apart).distinct().collect())  # one row per fold
         kept_apart = F.coalesce(F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])[F.col(apart)], F.lit(-1))
         mask = mask + F.shiftleft(kept_apart, len(coords))
-    q, _ = write_barrier(queries.select(F.col(qid).alias("__qid"), mask.alias("__held"), *[
+    q, q_path = write_barrier(queries.select(F.col(qid).alias("__qid"), mask.alias("__held"), *[
         F.when(h, F.col(c).cast("double")).alias(f"__x{i}") for i, (c, h) in enumerate(zip(coords, held))]), "queries")
     xs = [f"__x{i}" for i in range(len(coords))]
     holds = sorted(r[0] for r in q.select("__held").distinct().collect())  # at most one per set of coordinates
@@ -230,7 +230,7 @@ def _cell_topk(queries, donors, k, qid, did, num_cols, cat_cols, cat_width, carr
         d = d.where((F.col("__held").bitwiseAND(F.lit(1 << i)) == 0) | (F.col(x).isNotNull() & ~F.isnan(x)))
     d = d.withColumns({x: F.when(F.col("__held").bitwiseAND(F.lit(1 << i)) != 0, F.col(x)) for i, x in enumerate(xs)})
     alike = Window.partitionBy("__held", *xs).orderBy("__did")
-    d, _ = write_barrier(d.withColumn("__r", F.row_number().over(alike)).where(F.col("__r") <= k).drop("__r"), "donors")
+    d, d_path = write_barrier(d.withColumn("__r", F.row_number().over(alike)).where(F.col("__r") <= k).drop("__r"), "donors")
 
     cells = Cells.cut(d, holds, xs, n_num, cat_width, total_dims, DONOR_CELL)
     d = cells.deal(d)
@@ -274,8 +274,12 @@ def _cell_topk(queries, donors, k, qid, did, num_cols, cat_cols, cat_width, carr
             nearest(further), schema + (", more array<int>" if further else ""))
 
     found, _ = write_barrier(meet(q, True), "neighbours")
+    drop_path(spark, q_path)
     open_ = found.where(F.size("more") > 0)
+    # written here, so that the donors, copied for every combination, go before the caller's next step
     again = meet(open_.select("__qid", "__held", *xs, F.explode("more").alias("__cell")), False)
+    again, _ = write_barrier(again.select("__qid", "dist", "did", *cs), "neighbours")
+    drop_path(spark, d_path)
 
     def rows(df, *also):
         one = df.select("__qid", F.posexplode(F.arrays_zip("dist", "did", *cs)).alias("__p", "__n"))

@@ -60,3 +60,19 @@ def test_cells_a_query_meets_do_not_grow_with_the_donors(spark, rows):
     q = rng.normal(size=(500, 2))
     kth = N._best(N._pair_dist(q, np.zeros((500, 0)), d, np.zeros((rows, 0)), 2.0, []), np.arange(rows), 5)[0][:, 4]
     assert len(cells.not_farther(q, kth, 3, -1)[0]) < 3 * 500
+
+
+def test_search_leaves_only_what_its_result_reads(spark):
+    """Queries, and donors copied for every combination, are gone before the caller's next step."""
+    from pathlib import Path
+
+    from lacuna.session import ensure_checkpoint_dir
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in root.glob("lacuna-*")}
+    before = names()
+    donors = spark.range(300).selectExpr("id AS d", "cast(id % 17 AS double) AS x", "cast(id % 5 AS double) AS y")
+    queries = spark.range(40).selectExpr("id AS q", "if(id % 3 = 0, null, id / 2.0D) AS x", "cast(id % 7 AS double) AS y")
+    near = N.knn_topk(queries, donors, 3, "q", "d", ["x", "y"])
+    left = {n.split("-")[1] for n in names() - before}
+    assert left == {"neighbours"}
+    assert near.count() == 120 and near.where("rank <= 3").count() == 120
